@@ -15,6 +15,7 @@ import heapq
 import json
 import unicodedata
 from functools import lru_cache
+from itertools import repeat
 
 import regex
 from pyspark.sql import DataFrame
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from tabulon.llm.common import append_columns
 
 SHORT = 256
-MEMO = 1 << 18
+MEMO = 1 << 19
 NONE = 1 << 60
 # The word pattern that this vocabulary format prescribes. White space is the Unicode property.
 WORDS = regex.compile(
@@ -89,7 +90,9 @@ class Codec:
         back = {c: b for b, c in letters.items()}
         vocab = spec["model"]["vocab"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        pairs = [tuple(p) for p in pairs]
+        self.rank_of = {(vocab[a], vocab[b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [vocab[a + b] for a, b in pairs]
         self.byte_ids = [vocab[letters[b]] for b in range(256)]
         self.bytes_of = {str(i): bytes(back[c] for c in token) for token, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -102,42 +105,39 @@ class Codec:
         ids = [self.byte_ids[b] for b in word]
         return self._scan(ids) if len(ids) <= SHORT else self._heap(ids)
 
-    def _rank(self, ids: list[int], i: int) -> int:
-        got = self.merges.get((ids[i], ids[i + 1])) if 0 <= i < len(ids) - 1 else None
-        return got[0] if got else NONE
-
     def _scan(self, ids: list[int]) -> list[int]:
         """ids: the parts between boundaries; ranks[i]: that of parts i and i + 1."""
-        ranks = [self._rank(ids, i) for i in range(len(ids) - 1)]
+        rank_of, made = self.rank_of.get, self.made
+        ranks = list(map(rank_of, zip(ids, ids[1:], strict=False), repeat(NONE)))
         while ranks:
             least = min(ranks)
             if least == NONE:
                 break
             i = ranks.index(least)
-            ids[i] = self.merges[ids[i], ids[i + 1]][1]
+            ids[i] = made[least]
             del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = self._rank(ids, i - 1)
+                ranks[i - 1] = rank_of((ids[i - 1], ids[i]), NONE)
             if i < len(ranks):
-                ranks[i] = self._rank(ids, i)
+                ranks[i] = rank_of((ids[i], ids[i + 1]), NONE)
         return ids
 
     def _heap(self, ids: list[int]) -> list[int]:
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(got[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (got := self.merges.get((ids[i], ids[i + 1])))]
+        heap = [(rank, i, *pair) for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if (rank := self.rank_of.get(pair)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            least, i, left, right = heapq.heappop(heap)
             j = after[i] if ids[i] == left else n
             if j >= n or ids[j] != right:
                 continue
-            ids[i], ids[j], after[i] = self.merges[left, right][1], -1, after[j]
+            ids[i], ids[j], after[i] = self.made[least], -1, after[j]
             if after[i] < n:
                 before[after[i]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (got := self.merges.get((ids[a], ids[b]))):
-                    heapq.heappush(heap, (got[0], a, ids[a], ids[b]))
+                if a >= 0 and b < n and (rank := self.rank_of.get((ids[a], ids[b]))) is not None:
+                    heapq.heappush(heap, (rank, a, ids[a], ids[b]))
         return [x for x in ids if x >= 0]
 
     def _piece(self, piece: str) -> str:
