@@ -212,3 +212,21 @@ def digests(docs: DataFrame, vocabulary: str, text_col: str = "text", keep=None)
         return kernel
 
     return append_columns(docs, [text_col], make, DIGESTS, keep)
+
+
+CHECKED = (("ids", T.StringType()), ("n_tokens", T.LongType()), ("round_trip", T.BooleanType()))
+
+
+def encode_checked(docs: DataFrame, vocabulary: str, text_col: str = "text", keep=None) -> DataFrame:
+    """``ids``, ``n_tokens``, and ``round_trip``: whether decoding the ids gives the text."""
+
+    def make():
+        code = codec(vocabulary)
+
+        def kernel(texts):
+            ids = [code.encode(t or "") for t in texts]
+            return ids, [x.count(",") + 1 if x else 0 for x in ids], [code.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]
+
+        return kernel
+
+    return append_columns(docs, [text_col], make, CHECKED, keep)

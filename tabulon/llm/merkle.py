@@ -75,7 +75,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     wanted = min(BUCKETS, -(-size // BUCKET_BYTES) or 1)
     low, high = low or 0, high or 0
     width = max(1, -(-(high - low + 1) // CELLS))
-    cell = F.floor((F.col("id") - F.lit(low)) / F.lit(width)).cast("int")
+    cell = F.expr(f"cast((id - {low}L) div {width}L as int)")
     cells = [(int(r[0]), -(-r[1] * wanted // n)) for r in rows.where("id is not null").groupBy(cell.alias("cell")).count().orderBy("cell").collect()]
     table, base = [], 1
     for c, parts in cells:
@@ -83,8 +83,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         base += parts
     plan = spark.createDataFrame(table or [(0, 1, 1)], "cell int, base int, part long")
     placed = rows.withColumn("cell", cell).join(F.broadcast(plan), "cell", "left")
-    inside = F.col("id") - F.lit(low) - F.col("cell").cast("long") * F.lit(width)
-    placed = placed.select("id", "text", F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.col("base") + F.floor(inside / F.col("part"))).cast("int").alias("bucket"))
+    placed = placed.select("id", "text", F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.expr(f"cast(base + (id - {low}L - cell * {width}L) div part as int)")).alias("bucket"))
     by_id = F.struct(F.col("id").isNotNull(), F.col("id"), F.xxhash64("text"))
     firsts = [(r[0], r[1]) for r in placed.groupBy("bucket").agg(F.min(by_id).alias("first")).orderBy("bucket").collect()]
     # the bucket before; the first bucket's first row is the guest of the last bucket

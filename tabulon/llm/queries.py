@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tabulon.llm import bpe, langid, secret_scan, simhash
+from tabulon.llm import bpe, decontaminate, langid, license_scan, merkle, secret_scan, sharding, simhash, toxicity, warc
 from tabulon.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assign(table(spark, sf_dir, "documents"), 24)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY, keep=["doc_id"])
 
@@ -26,6 +31,19 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out_split().alias("held_out"), "lang_pred", "score")
 
 
+def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_edits(table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that leak, with the items that each leaks."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.cluster(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint_bits"), 16, "0")).alias("fingerprint"), "component_id")
@@ -36,8 +54,21 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find(docs, secret_scan.fit(docs), keep=["doc_id"])
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return found.select("doc_id", (~toxicity.learnable()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+OPERATORS = (op1_sharding, op2_bpe, op3_language, op4_merkle, op5_decontaminate, op6_licenses, op7_simhash, op8_secrets, op9_warc, op10_toxicity)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_language, op7_simhash, op8_secrets)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
