@@ -41,4 +41,4 @@ def test_entry(spark):
 
 def test_scan_reads_two_columns(spark):
     df = catalogue.scan_source_rows(spark, SF)
-    assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in df._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double,_tmp_metadata_row_index:bigint>" in df._jdf.queryExecution().executedPlan().toString()
