@@ -8,7 +8,7 @@ payload digests, and the content length.
 *Revisits.* Of records with equal payloads of at least ``REVISIT_BYTES`` the one with the largest id is the response, the
 others revisit it and carry no payload. Keys are decided on narrow rows (id, digest, length) by a pre-aggregated maximum.
 
-*Archives.* Records are dealt by a hash of the id to archives of about ``ARCHIVE_BYTES`` and written in the shared folder by
+*Archives.* Records are dealt by a hash of id and digest to archives of about ``ARCHIVE_BYTES`` and written in the shared folder by
 Spark's text writer, whose line end is the last byte of each record; so the files are WARC as they are, gzip-compressed.
 Reading parses each archive as a stream by declared lengths; memory is one compressed archive and one record.
 
@@ -26,13 +26,15 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import shared_dir
 
 REVISIT_BYTES = 1000
-ARCHIVE_BYTES = 16 << 20
+ARCHIVE_BYTES = 32 << 20
+#: The most archives; beyond, each grows.
+ARCHIVES = 1 << 16
 ARC_DATE = "20240101000000"
 ADDRESS = "0.0.0.0"
 CRLF = b"\r\n"
@@ -161,23 +163,28 @@ def payload_of(fields: dict[str, str], block: bytes) -> tuple[int, str]:
     return len(payload), digest
 
 
-def decided(pages: DataFrame, id_col: str, payload: Column, least: int = REVISIT_BYTES) -> DataFrame:
-    """``pages`` with ``refers_to``: the id of the response that each row revisits, else null.
+def revisits(keyed: DataFrame) -> DataFrame:
+    """(key, digest, refers_to) of the rows that revisit another, from narrow rows (key, digest); a null digest never revisits.
 
-    The digest's rows may be a third of all; the maximum is aggregated before the shuffle and joined back to one row a digest,
+    A digest's rows may be a third of all; the maximum is aggregated before the shuffle and joined back to one row a digest,
     a join whose skewed side Spark may split.
     """
-    keyed = pages.withColumn("digest_", F.when(F.octet_length(payload) >= least, F.sha2(payload, 256)))
-    last = keyed.where("digest_ is not null").groupBy("digest_").agg(F.max(id_col).alias("last_"), F.count("*").alias("n_")).where("n_ > 1").drop("n_")
-    joined = keyed.join(last, "digest_", "left")
-    return joined.withColumn("refers_to", F.when(F.col(id_col) != F.col("last_"), F.col("last_"))).drop("digest_", "last_")
+    last = keyed.where("digest is not null").groupBy("digest").agg(F.max("key").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return keyed.join(last, "digest").where("key != refers_to").select("key", "digest", "refers_to").distinct()
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    """Archives of all pages at ``path``: each page as an ARC record (version 1 or 2 by its id), converted to WARC."""
-    rows = pages.select(F.col(id_col).alias("key"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("body"))
+    """Archives of all pages at ``path``: each page as an ARC record (version 1 or 2 by its id), converted to WARC.
+
+    The payloads are shuffled once, by the key of the join with the revisits; each partition of that join is an archive.
+    """
+    body = F.coalesce(F.col(payload_col), F.lit(""))
+    digest = F.when(F.octet_length(body) >= REVISIT_BYTES, F.sha2(body, 256)).alias("digest")
+    rows = pages.select(F.col(id_col).alias("key"), F.col(url_col).alias("url"), body.alias("body"), digest)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
-    rows = decided(rows, "key", F.col("body"))
+    archives = max(1, min(ARCHIVES, -(-size // ARCHIVE_BYTES)))
+    others = revisits(rows.select("key", "digest")).repartition(archives, "key", "digest").hint("shuffle_hash")
+    rows = rows.repartition(archives, "key", "digest").join(others, ["key", "digest"], "left")
 
     def run(batches):
         for whole in batches:
@@ -188,12 +195,11 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
                     version = 1 + (key or 0) % 2
                     arc = arc_record(version, re.sub(r"[\r\n]", " ", url) if url else "urn:none", body.encode())
                     out.append(convert(arc, version, "null" if key is None else str(key), None if other is None else str(other))[:-1])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["key", "record"])
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    made = rows.select("key", "url", "body", "refers_to").mapInArrow(run, "key long, record binary")
+    made = rows.select("key", "url", "body", "refers_to").mapInArrow(run, "record binary")
     # the writer's line end is the record's last byte; casting keeps the bytes as they are
-    dealt = made.repartition(max(1, -(-size // ARCHIVE_BYTES)), F.xxhash64("key")).select(F.expr("cast(record as string)").alias("value"))
-    dealt.write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    made.select(F.expr("cast(record as string)").alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
