@@ -71,5 +71,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in OPERATORS}
 
 
+_LEAVES = r"list_distinct(list_transform(regexp_extract_all({}, '(?:[^\s]+[^\S\n]*){{1,4}}'), lambda x: rtrim(x)))"
+_PARAGRAPHS = "list_transform(string_split({}, chr(10)), lambda x: sha256(x))"
+_SECTIONS = "list_transform(range(0, len({0}), 16), lambda i: sha256(array_to_string({0}[i + 1 : i + 16], '')))"
+_LIKE = "case when len({0}) + len({1}) = 0 then 1.0 else 2.0 * len(list_intersect({0}, {1})) / (len({0}) + len({1})) end"
+#: What SQL can express: the Merkle fingerprints (by the leaves themselves in place of their hashes) and the archives' index.
+SQL = {
+    "op4_merkle": f"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+n as (select *, coalesce(lead(text) over (order by doc_id), first_value(text) over (order by doc_id)) as next, length(text) as n_chars, length(text) // 2 as h from d),
+e as (select *, left(text, n_chars - h) || left(next, h) as edited from n),
+p as (select *, {_PARAGRAPHS.format('text')} as p1, {_PARAGRAPHS.format('edited')} as p2, {_LEAVES.format('text')} as l1, {_LEAVES.format('edited')} as l2, {_LEAVES.format('next')} as l3 from e)
+select doc_id, n_chars, sha256(edited) as edited_sha256, sha256(array_to_string({_SECTIONS.format('p1')}, '')) as fingerprint,
+  sha256(array_to_string({_SECTIONS.format('p2')}, '')) as edited_fingerprint, ({_LIKE.format('l1', 'l2')})::double as near_edited, ({_LIKE.format('l1', 'l3')})::double as near_next
+from p""",
+    "op9_warc": """
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+m as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest) end as last from p)
+select page_id, payload_bytes, payload_digest, case when last <> page_id then 'revisit' else 'response' end as record_type, case when last <> page_id then last end as refers_to from m""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
