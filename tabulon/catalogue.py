@@ -181,6 +181,22 @@ _sorted("sort_numeric_desc", "lineitem", "l_quantity", True, ["(l_quantity is nu
 _sorted("sort_datetime", "events", "ts", False, ["(ts is null)::int", "ts"])
 
 
+def _sorted_by_settings(name: str, column: str, settings: Callable[[Table, int], None], order: str) -> None:
+    def run(spark, sf_dir):
+        t = opened(spark, sf_dir, "orders")
+        k = at(t, column)
+        settings(t, k)
+        return t.order_by(k).numbered.select("view_row", "source_row")
+
+    add(name, run, f"select row_number() over (order by {order}, source_row) - 1 as view_row, source_row from {NUMBERED.format('orders')}")
+
+
+_sorted_by_settings("sort_sentinel_last", "o_orderstatus", lambda t, k: t.columns.sentinel(k, "F"), f"(o_orderstatus = 'F')::int, case when o_orderstatus = 'F' then '' else {FOLD.format('o_orderstatus')} end, o_orderstatus")
+# text that is no number goes behind as text; dates held as integers neither conform
+_sorted_by_settings("sort_nonconforming", "o_orderpriority", lambda t, k: t.columns.override(k, ColumnType(Kind.INTEGER)), f"{FOLD.format('o_orderpriority')}, o_orderpriority")
+_sorted_by_settings("sort_number_as_text", "o_orderkey", lambda t, k: t.columns.override(k, ColumnType(Kind.TEXT)), "o_orderkey::varchar")
+
+
 @query(f"select row_number() over (order by o_totalprice desc, source_row desc) - 1 as view_row, source_row from {NUMBERED.format('orders')} where o_totalprice >= 250000")
 def sort_over_filter(spark, sf_dir):
     t = opened(spark, sf_dir, "orders")

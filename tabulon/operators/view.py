@@ -120,7 +120,15 @@ class View:
     def count(self) -> int:
         if self.filter is None and self.table.spec.row_count is not None:
             return self.table.spec.row_count
-        return self._kept().count()
+        known, key = self.table.totals, (self.filter, None)
+        if key not in known:
+            known[key] = self._kept().count()
+        return known[key]
+
+    def content_widths(self, first: int, count: int, columns: Sequence[int]) -> dict[int, int]:
+        """The most characters of each column's cells within a window."""
+        got = self.window(first, count, columns).agg(*(F.max(F.char_length(f"c{k}")) for k in columns)).first()
+        return {k: n or 0 for k, n in zip(columns, got, strict=True)}
 
     def window(self, first: int, count: int, columns: Sequence[int] | None = None) -> DataFrame:
         """view_row, source_row and the cells of up to 4,096 rows; other columns aren't read."""
@@ -247,10 +255,13 @@ class Find:
         rows = self.view.numbered
         return rows.where(predicate.matches(self.request, cells)).select("view_row", "source_row", predicate.match_column(self.request, cells).alias("match_column"))
 
-    @cached_property
+    @property
     def total(self) -> int:
-        """Counted without numbering."""
-        return self.view._kept().where(predicate.matches(self.request, self.view.table.cells)).count()
+        """Counted without numbering, once for requests of equal meaning under one filter; sorts don't change it."""
+        known, key = self.view.table.totals, (self.view.filter, self.request)
+        if key not in known:
+            known[key] = self.view._kept().where(predicate.matches(self.request, self.view.table.cells)).count()
+        return known[key]
 
     def ranked(self) -> DataFrame:
         """``matched`` with the 1-based ``position`` among the matches."""

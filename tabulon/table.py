@@ -28,6 +28,7 @@ class Table:
         self.spark, self.spec, self.rows, self.kinds = spark, spec, rows, kinds
         self.columns = Columns(self)
         self.rank_tables: dict = {}
+        self.totals: dict = {}
         self.cells: list[Column] = [F.col(f"c{k}") for k in range(spec.column_count)]
 
     def view(self) -> View:

@@ -109,6 +109,12 @@ def test_match_flags_and_copy(table):
     assert table.view().copy(3, 1, [1]).text == "-3" and table.view().copy(0, 8, [0, 1], max_bytes=9).text == "Widget\t2"
 
 
+def test_equal_requests_share_a_count(table):
+    table.totals.clear()
+    assert table.view().find(text("needle")).total == table.order_by(0).find(text("needle", (0, 1, 2))).total == 6
+    assert len(table.totals) == 1 and table.view().content_widths(0, 3, [0, 2]) == {0: 6, 2: 12}
+
+
 def test_numeric_sort_with_groups(table):
     from tabulon.spec import ColumnType, Kind
 
