@@ -1,12 +1,14 @@
 """Tables by http and https: fetched to a spool file, cancellable, with a closed set of failure causes.
 
-A server that answers a range request with 206 and a total serves random access, so a Parquet footer can be read before the
-rest; any other success is downloaded in order. Spark's tasks read the spool, so on a cluster its folder must be a shared one.
+A server that answers a range request with 206 and a total serves random access: then nothing is fetched up front, and each
+Spark task reads its own byte ranges, a Parquet footer first. Any other success is downloaded in order to a spool file, which
+Spark's tasks read, so on a cluster its folder must be a shared one.
 """
 
 from __future__ import annotations
 
 import http.client
+import io
 import os
 import re
 import socket
@@ -14,6 +16,7 @@ import tempfile
 import threading
 import urllib.error
 import urllib.request
+from collections import OrderedDict
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 from enum import Enum
@@ -23,6 +26,7 @@ from tabulon.errors import NetworkCause, NetworkError
 
 REDIRECTS = 3
 PIECE = 256 << 10
+CACHED = 64
 TIMEOUT = 15.0
 
 
@@ -98,6 +102,63 @@ def tail(url: str, n: int) -> bytes | None:
         return r.read()
 
 
+def serves_ranges(url: str) -> bool:
+    with request(url, 0, 0) as r:
+        return total_of(r)[1]
+
+
+class RangeFile(io.RawIOBase):
+    """A remote file read by ranges, through a bounded cache of pieces."""
+
+    def __init__(self, url: str, cached: int = CACHED) -> None:
+        self.url, self.at, self.cached = checked(url), 0, cached
+        self.held: OrderedDict[int, bytes] = OrderedDict()
+        with request(url, 0, 0) as r:
+            total, ranges = total_of(r)
+        if not ranges or total is None:
+            raise NetworkError(NetworkCause.IO, f"{url} doesn't serve ranges")
+        self.total = total
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        self.at = max(0, offset + (0, self.at, self.total)[whence])
+        return self.at
+
+    def _piece(self, k: int) -> bytes:
+        if k in self.held:
+            self.held.move_to_end(k)
+            return self.held[k]
+        first = k * PIECE
+        last = min(self.total, first + PIECE) - 1
+        with request(self.url, first, last) as r:
+            try:
+                got = r.read()
+            except http.client.HTTPException as e:
+                raise NetworkError(NetworkCause.IO, str(e)) from e
+        if len(got) != last - first + 1:
+            raise NetworkError(NetworkCause.SHORT_BODY, f"{len(got)} of {last - first + 1} bytes")
+        self.held[k] = got
+        if len(self.held) > self.cached:
+            self.held.popitem(last=False)
+        return got
+
+    def readinto(self, buffer) -> int:
+        view, done = memoryview(buffer).cast("B"), 0
+        while done < len(view) and self.at < self.total:
+            piece = self._piece(self.at // PIECE)[self.at % PIECE :][: len(view) - done]
+            view[done : done + len(piece)] = piece
+            done, self.at = done + len(piece), self.at + len(piece)
+        return done
+
+
 class Fetch:
     """A download on its own thread."""
 

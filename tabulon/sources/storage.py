@@ -1,4 +1,4 @@
-"""Bytes of a path, on the driver or an executor: local files, or any file system that pyarrow opens by URI."""
+"""Bytes of a path, on the driver or an executor: local files, http servers with ranges, any file system that pyarrow opens."""
 
 from __future__ import annotations
 
@@ -15,6 +15,10 @@ def _opened(path: str):
     scheme = urlparse(path).scheme
     if scheme in ("", "file"):
         return open(unquote(urlparse(path).path) if scheme else path, "rb")
+    if scheme in ("http", "https"):
+        from tabulon.sources.http import RangeFile
+
+        return RangeFile(path)
     from pyarrow import fs
 
     where, inner = fs.FileSystem.from_uri(path)

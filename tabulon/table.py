@@ -117,10 +117,11 @@ def _characters(pieces):
 
 
 def open_table(spark: SparkSession, path: str, options: OpenOptions = OpenOptions(), spool: str | None = None) -> Table:
-    """Opens delimited text (plain or gzip, by content) or Parquet; addresses are fetched first."""
-    if urlparse(path).scheme in ("http", "https"):
-        fetch = http.Fetch(path, spool)
-        return open_table(spark, fetch.result(), options)
+    """Opens delimited text (plain or gzip, by content) or Parquet. Addresses are read in place where the server serves ranges,
+    else fetched to a file in ``spool`` first."""
+    remote = urlparse(path).scheme in ("http", "https")
+    if remote and not http.serves_ranges(path):
+        return open_table(spark, http.Fetch(path, spool).result(), options)
     try:
         mark = storage.head(path, 4)
     except ReadFailed:
@@ -134,7 +135,7 @@ def open_table(spark: SparkSession, path: str, options: OpenOptions = OpenOption
     if mark in PARQUET_MARKS:
         if mark == b"PARE":
             raise UnsupportedSchema(f"{path} is encrypted")
-        return _parquet(spark, path, native=not parquet.needs_fallback(path))
+        return _parquet(spark, path, native=not remote and not parquet.needs_fallback(path))
     spec = probe(path, options)
     if not spec.labels:
         empty = spark.createDataFrame([], "source_row long, oversized boolean")

@@ -8,6 +8,8 @@ import pytest
 
 import __spark_entry__ as entry
 from tabulon import catalogue
+from tabulon.errors import UnsupportedSchema
+from tabulon.table import open_table
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +44,8 @@ def test_entry(spark):
 def test_scan_reads_two_columns(spark):
     df = catalogue.scan_source_rows(spark, SF)
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double,_tmp_metadata_row_index:bigint>" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nested_tables_are_refused(spark):
+    with pytest.raises(UnsupportedSchema):
+        open_table(spark, f"{SF}/embeddings.parquet")

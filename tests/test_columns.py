@@ -8,6 +8,7 @@ import pytest
 from tabulon.errors import InvalidArgument, NetworkCause, NetworkError, NoProposal
 from tabulon.operators.columns import Confidence, Conflict, State, alignment, generic_name, merged, search_labels
 from tabulon.operators.jobs import Job, JobState, SortAction, header_shift, jump_field, next_sort
+from tabulon.sources import delimited, parquet
 from tabulon.sources import http as web
 from tabulon.functions.classify import type_of
 from tabulon.spec import TEXT, ColumnType, Kind, Zone
@@ -108,8 +109,20 @@ def test_jobs(spark):
     assert slow.wait(60).state is JobState.CANCELLED
 
 
+def parquet_bytes():
+    import io
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    out = io.BytesIO()
+    pq.write_table(pa.table({"id": range(5000), "name": [f"row{k}" for k in range(5000)]}), out, row_group_size=1000)
+    return out.getvalue()
+
+
 class Handler(http.server.BaseHTTPRequestHandler):
     body = b"name,n\na,1\nb,2\n"
+    ranged = {"/ranges": body, "/big.csv": b"k,text\n" + b"".join(b'%d,"a\nb"\n' % k for k in range(2000)), "/t.parquet": parquet_bytes()}
 
     def do_GET(self):  # noqa: N802
         if self.path.startswith("/loop"):
@@ -127,11 +140,12 @@ class Handler(http.server.BaseHTTPRequestHandler):
             self.send_header("Content-Length", "999")
             self.end_headers()
             self.wfile.write(self.body)
-        elif self.path == "/ranges" and (r := self.headers.get("Range")):
+        elif self.path in self.ranged and (r := self.headers.get("Range")):
             a, b = r.removeprefix("bytes=").split("-")
-            part = self.body[int(a) : int(b or len(self.body)) + 1]
+            whole = self.ranged[self.path]
+            part = whole[int(a) : int(b or len(whole)) + 1]
             self.send_response(206)
-            self.send_header("Content-Range", f"bytes {a}-{int(a) + len(part) - 1}/{len(self.body)}")
+            self.send_header("Content-Range", f"bytes {a}-{int(a) + len(part) - 1}/{len(whole)}")
             self.send_header("Content-Length", str(len(part)))
             self.end_headers()
             self.wfile.write(part)
@@ -159,6 +173,18 @@ def test_open_address(spark, site, path):
     assert t.spec.labels == ("name", "n") and t.count() == 2
 
 
+def test_remote_tables_are_read_by_ranges(spark, site, monkeypatch):
+    """No spool: tasks read the address itself, Parquet by row groups and text by splits."""
+    monkeypatch.setattr(web, "Fetch", None)
+    t = open_table(spark, site + "/t.parquet")
+    assert t.spec.labels == ("id", "name") and t.count() == 5000 and t.rows.rdd.getNumPartitions() == 5
+    assert t.view().window(4999, 1).first()["c1"] == "row4999" and parquet.file_info(site + "/t.parquet").row_groups == 5
+    t = open_table(spark, site + "/big.csv")
+    assert t.count() == 2000
+    rows = delimited.load(spark, t.spec, step=4000)
+    assert rows.rdd.getNumPartitions() > 3 and [r["source_row"] for r in rows.orderBy("source_row").collect()] == list(range(2000))
+
+
 @pytest.mark.parametrize(("path", "cause"), [("/loop", NetworkCause.REDIRECTS), ("/missing", NetworkCause.HTTP_STATUS), ("/short", NetworkCause.SHORT_BODY)])
 def test_network_failures(site, path, cause):
     fetch = web.Fetch(site + path)
