@@ -13,6 +13,7 @@ from tabulon import spec as S
 from tabulon.errors import InvalidArgument, NoColumn, NoProposal
 from tabulon.functions.classify import type_of
 from tabulon.functions.text import cap_text
+from tabulon.sources import delimited
 from tabulon.spec import TEXT, UNKNOWN, ColumnType, Kind, Zone
 
 if TYPE_CHECKING:
@@ -252,15 +253,15 @@ class Columns:
         return [self.metadata(k) for k in wanted]
 
     def _head(self, columns: Sequence[int]) -> None:
-        rows = self.table.rows.where(F.col("source_row") < HEAD_ROWS + 1).select("source_row", *(f"c{k}" for k in columns)).orderBy("source_row").collect()
+        rows = delimited.head(self.table.spec, HEAD_ROWS + 1)
         size, taken = 0, 0
-        for row in rows[:HEAD_ROWS]:
-            size += sum(len(v.encode()) for v in row[1:])
+        for number, row in enumerate(rows[:HEAD_ROWS]):
+            size += sum(len(row[k].encode()) for k in columns)
             if size > HEAD_BYTES and taken:
                 break
             taken += 1
-            for k, value in zip(columns, row[1:], strict=True):
-                self.evidence.setdefault(k, Evidence()).observe(row[0], value, self.sentinels.get(k), self.overrides.get(k))
+            for k in columns:
+                self.evidence.setdefault(k, Evidence()).observe(number, row[k], self.sentinels.get(k), self.overrides.get(k))
         for k in columns:
             self.evidence.setdefault(k, Evidence()).settle(taken == len(rows))
 

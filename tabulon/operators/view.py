@@ -137,6 +137,9 @@ class View:
         columns = range(self.table.spec.column_count) if columns is None else columns
         inside = F.col("view_row").between(first, first + min(count, S.WINDOW_ROWS) - 1)
         cells = [f"c{k}" for k in columns]
+        if self.sort is None and self.filter is None:
+            got = self.table.between(first, first + min(count, S.WINDOW_ROWS), list(columns))
+            return got.select(F.col("source_row").alias("view_row"), "source_row", *cells)
         if self.sort is None:
             return self.numbered.where(inside).select("view_row", "source_row", *cells)
         # the window's rows are few, so the table is read once against a broadcast of them

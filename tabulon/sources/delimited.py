@@ -25,6 +25,8 @@ SPLIT_BYTES = 32 << 20
 BATCH_CHARS = 4 << 20
 BATCH_ROWS = 8192
 GZIP = b"\x1f\x8b"
+#: Rows up to here are read from the file's begin if the splits aren't known yet.
+NEAR_ROWS = 1 << 16
 
 
 def inflated(pieces: Iterable[bytes]) -> Iterator[bytes]:
@@ -123,6 +125,8 @@ class DelimitedReader(DataSourceReader):
             if held >= BATCH_CHARS or len(rows) >= BATCH_ROWS:
                 yield batch()
                 rows, large, held = [], [], 0
+            if row >= p["stop_row"]:
+                break
         if rows:
             yield batch()
 
@@ -187,16 +191,46 @@ def splits(spark: SparkSession, spec: TableSpec, step: int = SPLIT_BYTES) -> lis
     return out
 
 
-def load(spark: SparkSession, spec: TableSpec, columns: list[int] | None = None, step: int = SPLIT_BYTES) -> DataFrame:
-    """source_row, oversized and the cells of the wanted columns."""
+FAR = 1 << 62
+
+
+def known_splits(spark: SparkSession, spec: TableSpec, step: int = SPLIT_BYTES) -> list[tuple[int, int, int]]:
+    """The splits, found once for a table."""
+    if ("splits", step) not in spec.extra:
+        spec.extra["splits", step] = splits(spark, spec, step)
+    return spec.extra["splits", step]
+
+
+def load(spark: SparkSession, spec: TableSpec, columns: list[int] | None = None, step: int = SPLIT_BYTES, rows: tuple[int, int] | None = None) -> DataFrame:
+    """source_row, oversized and the cells of the wanted columns; with ``rows`` (first, stop), of these rows.
+
+    Rows near the begin are read from there on up to the last one wanted. Others need the splits, of which those that hold
+    some of the rows are read.
+    """
     columns = list(range(spec.column_count)) if columns is None else columns
-    d = spec.dialect
-    key = ("splits", step)
-    if key not in spec.extra:
-        spec.extra[key] = splits(spark, spec, step)
+    d, stop = spec.dialect, FAR
+    if rows is None:
+        parts = known_splits(spark, spec, step)
+    else:
+        stop = rows[1]
+        near = ("splits", step) not in spec.extra and stop <= NEAR_ROWS
+        parts = [(spec.data_start, spec.size_bytes, 0)] if near else known_splits(spark, spec, step)
+        ends = [*(p[2] for p in parts[1:]), FAR]
+        parts = [p for p, end in zip(parts, ends, strict=True) if p[2] < stop and end > rows[0]]
     plan = {
         "path": spec.path, "gzip": spec.gzip, "encoding": d.encoding, "separator": d.separator, "quote": d.quote,
-        "width": spec.column_count, "columns": columns, "splits": spec.extra[key],
+        "width": spec.column_count, "columns": columns, "splits": parts, "stop_row": stop,
     }
     spark.dataSource.register(DelimitedSource)
-    return spark.read.format(NAME).option("plan", json.dumps(plan)).load()
+    found = spark.read.format(NAME).option("plan", json.dumps(plan)).load()
+    return found if rows is None else found.where(found["source_row"].between(rows[0], rows[1] - 1))
+
+
+def head(spec: TableSpec, most: int) -> list[list[str]]:
+    """The first rows, read by the driver from the begin of the file alone."""
+    out = []
+    for fields, _, _ in records(text_of(spec.path, spec.gzip, spec.dialect.encoding, spec.data_start, spec.size_bytes), spec.dialect.separator, spec.dialect.quote):
+        out.append(fitted(fields, spec.column_count))
+        if len(out) == most:
+            break
+    return out

@@ -169,10 +169,21 @@ def open_text(spark: SparkSession, path: str) -> Opened:
         labels = tuple(schema.names)
         if m.num_columns != len(labels):
             raise UnsupportedSchema(f"{path} has nested columns")
-    groups = [(g.group, g.first_row) for g in row_groups(path)]
+    return Opened(load_text(spark, path, labels), labels, types, (), m.num_rows)
+
+
+def load_text(spark: SparkSession, path: str, labels: tuple[str | None, ...], columns: list[int] | None = None, rows: tuple[int, int] | None = None) -> DataFrame:
+    """source_row and text cells of the wanted columns, by row groups; with ``rows`` (first, stop), of the groups that hold
+    some of these rows, and of these rows alone."""
+    columns = list(range(len(labels))) if columns is None else columns
+    groups = [(g.group, g.first_row, g.rows) for g in row_groups(path)]
+    if rows is not None:
+        groups = [g for g in groups if g[1] < rows[1] and g[1] + g[2] > rows[0]]
+    # columns are named to the reader, so repeated labels are read whole
+    unique = len(set(labels)) == len(labels) and None not in labels
+    plan = {"path": path, "groups": [g[:2] for g in groups], "columns": columns, "labels": [labels[k] for k in columns] if unique else None, "rows": rows}
     spark.dataSource.register(ParquetTextSource)
-    rows = spark.read.format(NAME).option("plan", json.dumps({"path": path, "groups": groups, "width": len(labels)})).load()
-    return Opened(rows, labels, types, (), m.num_rows)
+    return spark.read.format(NAME).option("plan", json.dumps(plan)).load()
 
 
 class Group(InputPartition):
@@ -181,14 +192,14 @@ class Group(InputPartition):
 
 
 class ParquetTextSource(DataSource):
-    """One partition a row group; columns by position, rendered as text. Option ``plan``: path, groups and width."""
+    """One partition a row group; columns by position, rendered as text. Option ``plan``: path, groups, columns and rows."""
 
     @classmethod
     def name(cls) -> str:
         return NAME
 
     def schema(self) -> str:
-        return ", ".join(["source_row long", *(f"c{k} string" for k in range(json.loads(self.options["plan"])["width"]))])
+        return ", ".join(["source_row long", *(f"c{k} string" for k in json.loads(self.options["plan"])["columns"])])
 
     def reader(self, schema) -> ParquetTextReader:
         return ParquetTextReader(json.loads(self.options["plan"]))
@@ -202,12 +213,21 @@ class ParquetTextReader(DataSourceReader):
         return [Group(*g) for g in self.plan["groups"]]
 
     def read(self, group: Group) -> Iterator[pa.RecordBatch]:
-        row = group.first_row
-        with storage.opened(self.plan["path"]) as f:
-            for batch in pq.ParquetFile(f).iter_batches(batch_size=4096, row_groups=[group.group]):
-                columns = [pa.array([cell_text(v) for v in values(c)], pa.string()) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays([pa.array(range(row, row + batch.num_rows), pa.int64()), *columns], names=["source_row", *(f"c{k}" for k in range(len(columns)))])
-                row += batch.num_rows
+        p, row = self.plan, group.first_row
+        low, high = p["rows"] or (0, 1 << 62)
+        names = ["source_row", *(f"c{k}" for k in p["columns"])]
+        with storage.opened(p["path"]) as f:
+            for batch in pq.ParquetFile(f).iter_batches(batch_size=4096, row_groups=[group.group], columns=p["labels"]):
+                first, row = row, row + batch.num_rows
+                a, b = max(low, first), min(high, row)
+                if a >= b:
+                    if first >= high:
+                        break
+                    continue
+                part = batch.slice(a - first, b - a)
+                columns = [part.column(part.schema.get_field_index(x)) for x in p["labels"]] if p["labels"] else [part.column(k) for k in p["columns"]]
+                cells = [pa.array([cell_text(v) for v in values(c)], pa.string()) for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(range(a, b), pa.int64()), *cells], names=names)
 
 
 def values(column: pa.Array) -> list:

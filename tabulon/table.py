@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cached_property
 from itertools import islice
 from urllib.parse import urlparse
 
@@ -22,15 +24,29 @@ PARQUET_MARKS = (b"PAR1", b"PARE")
 
 
 class Table:
-    """One open table: a frozen shape, its rows (``source_row``, text cells ``c0``...), and its columns' session settings."""
+    """One open table: a frozen shape, its rows (``source_row``, text cells ``c0``...), and its columns' session settings.
 
-    def __init__(self, spark: SparkSession, spec: TableSpec, rows: DataFrame, kinds: tuple = ()) -> None:
-        self.spark, self.spec, self.rows, self.kinds = spark, spec, rows, kinds
+    ``rows`` is made when first asked for: finding the splits of a large text takes a pass over it, which opening doesn't.
+    """
+
+    def __init__(self, spark: SparkSession, spec: TableSpec, rows: Callable[[], DataFrame], kinds: tuple = (), between: Callable[[int, int, list[int]], DataFrame] | None = None) -> None:
+        self.spark, self.spec, self.kinds = spark, spec, kinds
+        self._make, self._between = rows, between
         self.columns = Columns(self)
         self.rank_tables: dict = {}
         self.totals: dict = {}
         self.cells: list[Column] = [F.col(f"c{k}") for k in range(spec.column_count)]
 
+    @cached_property
+    def rows(self) -> DataFrame:
+        return self._make()
+
+    def between(self, first: int, stop: int, columns: list[int]) -> DataFrame:
+        """source_row and some cells of a range of source rows, reading the part of the source that holds them."""
+        if self._between is not None:
+            return self._between(first, stop, columns)
+        return self.rows.where(F.col("source_row").between(first, stop - 1)).select("source_row", *(f"c{k}" for k in columns))
+
     def view(self) -> View:
         return View(self)
 
@@ -138,18 +154,20 @@ def open_table(spark: SparkSession, path: str, options: OpenOptions = OpenOption
         return _parquet(spark, path, native=not remote and not parquet.needs_fallback(path))
     spec = probe(path, options)
     if not spec.labels:
-        empty = spark.createDataFrame([], "source_row long, oversized boolean")
-        return Table(spark, spec, empty)
-    return Table(spark, spec, delimited.load(spark, spec))
+        return Table(spark, spec, lambda: spark.createDataFrame([], "source_row long, oversized boolean"))
+    part = lambda first, stop, columns: delimited.load(spark, spec, columns, rows=(first, stop))
+    return Table(spark, spec, lambda: delimited.load(spark, spec), (), part)
 
 
 def _parquet(spark: SparkSession, path: str, native: bool) -> Table:
     got = parquet.open_native(spark, path) if native else parquet.open_text(spark, path)
-    rows = got.row_count
+    rows, part = got.row_count, None
     if native:
         try:
             rows = parquet.file_info(path).rows
         except (ReadFailed, NotFound, UnsupportedSchema):
             rows = None
+    if rows is not None:  # a single file whose row groups are known
+        part = lambda first, stop, columns: parquet.load_text(spark, path, got.labels, columns, (first, stop))
     types: tuple[ColumnType, ...] = got.declared
-    return Table(spark, TableSpec(path, tuple(x or None for x in got.labels), None, types, 0, rows), got.rows, got.kinds)
+    return Table(spark, TableSpec(path, tuple(x or None for x in got.labels), None, types, 0, rows), lambda: got.rows, got.kinds, part)

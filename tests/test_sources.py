@@ -189,6 +189,22 @@ def test_splits_agree_with_one_pass(spark, tmp_path, seed):
     assert [[r["c0"], r["c1"], r["c2"]] for r in rows] == [(f + ["", ""])[:3] for f in whole]
 
 
+def test_windows_read_a_part(spark, tmp_path, monkeypatch):
+    """The first rows without finding splits; later ones from the splits that hold them; Parquet by its row groups."""
+    monkeypatch.setattr(delimited, "NEAR_ROWS", 50)
+    path = made(tmp_path, "k,t\n" + "".join(f'{k},"a\nb"\n' for k in range(400)))
+    t = open_table(spark, path)
+    assert [r["c0"] for r in t.view().window(10, 5, [0]).orderBy("view_row").collect()] == ["10", "11", "12", "13", "14"] and not t.spec.extra
+    spec = probe(path)
+    delimited.known_splits(spark, spec, 512)
+    some = delimited.load(spark, spec, [1, 0], 512, (200, 203))
+    assert some.rdd.getNumPartitions() < 3 and [tuple(r) for r in some.select("source_row", "c0", "c1").orderBy("source_row").collect()] == [(k, str(k), "a\nb") for k in range(200, 203)]
+    pq.write_table(pa.table({"a": range(100), "b": [f"x{k}" for k in range(100)]}), str(tmp_path / "w.parquet"), row_group_size=10)
+    w = open_table(spark, str(tmp_path / "w.parquet")).view().window(35, 10, [1])
+    assert w.rdd.getNumPartitions() == 2 and [tuple(r) for r in w.orderBy("view_row").collect()] == [(k, k, f"x{k}") for k in range(35, 45)]
+    assert open_table(spark, str(tmp_path / "w.parquet")).view().window(95, 10).count() == 5 and t.view().window(398, 9).count() == 2
+
+
 def test_open_errors(spark, tmp_path):
     with pytest.raises(NotFound):
         open_table(spark, str(tmp_path / "none.csv"))
