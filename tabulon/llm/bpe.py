@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 from tabulon.llm.common import append_columns
 
 SHORT = 256
-MEMO = 1 << 19
+#: Words held by a memo: the older half goes when the newer half is full.
+MEMO = 1 << 18
 NONE = 1 << 60
 # The word pattern that this vocabulary format prescribes. White space is the Unicode property.
 WORDS = regex.compile(
@@ -65,16 +66,20 @@ def byte_letters() -> dict[int, str]:
 
 
 class Memo(dict):
-    """word -> its ids joined by commas; emptied when full, so that it stays bounded."""
+    """word -> its ids joined by commas. Bounded: two generations, and a word that is asked for again moves to the newer."""
 
     def __init__(self, encode) -> None:
         super().__init__()
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, word: str) -> str:
-        if len(self) >= MEMO:
+        if len(self) >= MEMO // 2:
+            self.older = dict(self)
             self.clear()
-        out = self[word] = self.encode(word)
+        out = self.older.get(word)
+        if out is None:
+            out = self.encode(word)
+        self[word] = out
         return out
 
 

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of one kernel call; a batch from Spark is cut to this many, so that one call's Python objects stay small.
-KERNEL_ROWS = 512
+KERNEL_ROWS = 256
+#: Rows of an Arrow batch between the JVM and Python, unless the session sets its own number: whole documents are large rows.
+BATCH_ROWS = 1000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +53,12 @@ def hash_share(seed: str, *cols: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *(F.col(c) for c in cols)), F.lit(1 << 20))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batch to BATCH_ROWS where it is still Spark's default of 10,000."""
+    if spark.conf.get(BATCH_CONF) == "10000":
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+
+
 def append_columns(
     df: DataFrame,
     reads: Sequence[str],
@@ -63,6 +72,7 @@ def append_columns(
     sequence per field. An input column named like a new field (in any case) gives way to it. Memory is one Arrow batch and
     the kernel's own state.
     """
+    bound_batches(df.sparkSession)
     new = {name.lower() for name, _ in fields}
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     reads = list(reads)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import append_columns, hash_share, split_of
+from tabulon.llm.common import append_columns, bound_batches, hash_share, split_of
 
 ORDER = 3
 #: Expected number of training documents a language; a language with fewer gives all it has.
@@ -33,7 +33,7 @@ UND = "und"
 PAD = b"\n" * ORDER
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes scored by one pass of array operations.
-SLICE = 1 << 21
+SLICE = 1 << 18
 
 
 class Table:
@@ -126,6 +126,7 @@ def fit(
     Of each language about ``docs_per_language`` documents are taken, by a hash of the id; their windows are counted on the
     executors and the distinct ones come to the driver, so what arrives is bounded by the sample.
     """
+    bound_batches(docs.sparkSession)
     known = docs.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     totals = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
     if not totals:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import append_columns, hash_share
+from tabulon.llm.common import append_columns, bound_batches, hash_share
 
 # The base patterns and the least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -232,6 +232,7 @@ def train(chains: list[tuple[list[tuple[int, ...]], list[int]]]) -> Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_spans: int = WITH_SPANS, without_spans: int = WITHOUT_SPANS) -> Model:
     """Trains on about ``with_spans`` documents with base spans and ``without_spans`` others that have tokens to tag, taken by
     a hash of the id; a document gives chains of up to ``TOKENS_EACH`` tokens. Only their features and labels reach the driver."""
+    bound_batches(docs.sparkSession)
     text = F.col(f"`{text_col}`")
     has = text.rlike(r"AKIA[A-Z0-9]{14}|[0-9a-f]{16}|(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]")
     asks = text.rlike("[0-9=:]")

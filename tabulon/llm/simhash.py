@@ -40,7 +40,7 @@ BLOCKS = 2
 HOME = 1500
 SAMPLE = 1 << 16
 #: Fingerprint comparisons held at once by a shard's search.
-CELLS = 1 << 20
+CELLS = 1 << 18
 #: The most of a node's fingerprints that a split may send to both sides; a worse split isn't made.
 CROSSING = 0.45
 FIELDS = (("fingerprint_bits", T.LongType()),)

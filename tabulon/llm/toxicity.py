@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import append_columns, hash_share, split_of
+from tabulon.llm.common import append_columns, bound_batches, hash_share, split_of
 
 #: Expected number of labelled documents to learn from, and the most words of the vocabulary.
 LABELLED = 24_000
@@ -84,6 +84,7 @@ def fit(
     The sampled ids are broadcast (their number is bounded by the sample), so the documents are read without a shuffle. Word
     counts are made on the executors; the driver gets the best words, and the word sets of the sampled sentences.
     """
+    bound_batches(docs.sparkSession)
     known = labels.where(learnable(id_col) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("y"))
     total = known.count()
     taken = known.where(hash_share("toxic", id_col) < min(1.0, labelled / max(1, total)) * (1 << 20)).groupBy(id_col).agg(F.max("y").alias("y"))

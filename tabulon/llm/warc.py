@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import shared_dir
+from tabulon.llm.common import bound_batches, shared_dir
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 32 << 20
@@ -178,6 +178,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
     The payloads are shuffled once, by the key of the join with the revisits; each partition of that join is an archive.
     """
+    bound_batches(pages.sparkSession)
     body = F.coalesce(F.col(payload_col), F.lit(""))
     digest = F.when(F.octet_length(body) >= REVISIT_BYTES, F.sha2(body, 256)).alias("digest")
     rows = pages.select(F.col(id_col).alias("key"), F.col(url_col).alias("url"), body.alias("body"), digest)
