@@ -5,7 +5,7 @@ A text becomes tokens: runs of letters, numbers, and sentence ends (one token ``
 tokens are hash-joined between the benchmark and the documents: all windows of the items, and every ``stride``-th window of
 the documents, so that any common run of WINDOW + stride - 1 tokens is found; the stride follows from the shortest item.
 A hit fixes how an item lies over a document; along that alignment every window of the item is then compared. A document
-leaks an item if the windows that agree cover at least ``COVERAGE`` of the item's and the slots are consistent: an item's name,
+leaks an item if the windows that agree are at least ``COVERAGE`` of the item's, or ``RUN`` of them, and the slots are consistent: an item's name,
 number or unit, wherever it stands in the agreeing windows, always faces the same value in the document. So re-parameterised
 copies are caught, and texts that merely share a template's shape are not.
 
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 WINDOW = 5
 STRIDE = 4
 COVERAGE = 0.5
+#: Agreeing windows that are evidence however long the item is: those of 13 tokens in a row.
+RUN = 9
 CONSISTENT = 0.9
 BROADCAST = 500_000
 TOKENS = r"\p{L}++|[0-9]++(?:[.,][0-9]++)*+|[.!?]++"
@@ -123,7 +125,7 @@ def leaks(
     )
     coverage = F.col("n") / (F.col("length") - WINDOW + 1)
     changed = F.size(F.filter("slots", lambda s: s["a"] != s["b"]))
-    return pairs.where((coverage >= COVERAGE) & (F.col("consistent") >= CONSISTENT)).select(
+    return pairs.where(((coverage >= COVERAGE) | (F.col("n") >= RUN)) & (F.col("consistent") >= CONSISTENT)).select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), coverage.alias("coverage"), F.size("slots").alias("slots"), changed.alias("slots_changed")
     )
 
