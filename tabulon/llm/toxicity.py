@@ -1,9 +1,10 @@
 """Toxicity by multiple-instance learning: sentence scores combined by noisy-or, trained from document labels.
 
-A sentence is what ends with ``.``, ``!``, ``?`` or a line's end. Its score is a logistic function of the vocabulary words it
-holds (each once); a document's is 1 - product(1 - sentence scores), so the document labels alone train the sentence scores,
-and the sentences over the threshold are where a document offends. The vocabulary is the words that best tell labelled
-documents apart by a signed log-likelihood ratio. A sentence without a vocabulary word adds nothing; documents without
+A sentence is what ends with ``.``, ``!``, ``?`` or a line's end. Its score is a logistic function of the vocabulary's words and
+word beginnings that it holds (each once; beginnings stand for stems with many endings); a document's is 1 - product(1 - sentence scores), so the document labels alone train the sentence scores,
+and the sentences over the threshold are where a document offends. The vocabulary is what best tells labelled documents apart
+by a signed log-likelihood ratio; what gets little weight in one training is left out of the next, as many weak signs would
+add up over a long document. A sentence without a vocabulary word adds nothing; documents without
 any, empty and null ones among them, keep the prior score of a bare document.
 
 Very long documents have many sentences; each adds its own chance, and all are scored.
@@ -28,10 +29,22 @@ LABELLED = 24_000
 WORDS = 2048
 LEAST_DOCS = 4
 #: The least log-likelihood ratio of a word in the vocabulary (chance exceeds it about once in 10**5).
-LEAST_RATIO = 20.0
-STEPS, RATE, RIDGE = 300, 0.1, 1e-4
+LEAST_RATIO = 15.0
+STEPS, RATE, RIDGE = 300, 0.1, 0.1
+#: Lengths of word beginnings, and the least weights that are kept from one training to the next.
+STEMS = (4, 5, 6)
+KEPT = (0.5, 1.5, 2.5)
+#: Logit of a sentence before its signs: fixed, so that the signs carry all the evidence.
+BIAS = -4.0
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]?")
 WORD = re.compile(r"[^\W_]+")
+
+
+def signs(word: str) -> list[str]:
+    """A word and its beginnings, which are marked by a character that no word has."""
+    return [word, *(f"{word[:n]}~" for n in STEMS if len(word) > n)]
+
+
 FIELDS = (("score", T.DoubleType()), ("offending", T.ArrayType(T.StringType())))
 
 
@@ -43,19 +56,18 @@ class Model:
 
     def sentence_logits(self, text: str) -> list[tuple[float, int, int]]:
         """(logit, start, end) of each sentence with a vocabulary word."""
-        low, get = text.lower(), self.weights.get
+        low = text.lower()
         if len(low) != len(text):  # a few capitals grow when lower-cased; offsets are those of the text
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        hits = [w for w in set(WORD.findall(low)) if w in self.weights]
-        if not hits:
-            return []
+        hits = {w: own for w in set(WORD.findall(low)) if (own := [x for x in signs(w) if x in self.weights])}
         out = []
         for at in sorted({m.start() for w in hits for m in re.finditer(rf"(?<![^\W_]){re.escape(w)}(?![^\W_])", low)}):
             if out and at < out[-1][2]:
                 continue
             start = max(low.rfind(c, 0, at) for c in ".!?\n") + 1
             end = SENTENCE.match(low, start).end()
-            out.append((self.bias + sum(get(w, 0.0) for w in set(WORD.findall(low[start:end]))), start, end))
+            held = {x for w in WORD.findall(low[start:end]) for x in hits.get(w, ())}
+            out.append((self.bias + sum(map(self.weights.__getitem__, sorted(held))), start, end))
         return out
 
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int, int]]]:
@@ -94,7 +106,8 @@ def fit(
         for batch in batches:
             found: Counter = Counter()
             for t, y in zip(*(batch.column(c).to_pylist() for c in range(2)), strict=True):
-                found.update((w, y) for w in {"", *WORD.findall(t.lower())})  # a document counts once under the empty word
+                # a document counts once under the empty word
+                found.update((x, y) for x in {"", *(x for w in set(WORD.findall(t.lower())) for x in signs(w))})
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32()), pa.array([*found.values()], pa.int64())], names=["word", "y", "n"])
 
     counts = rows.select("text", "y").mapInArrow(words, "word string, y int, n long").groupBy("word")
@@ -111,14 +124,14 @@ def fit(
     part = lambda seen, want: F.when(seen > 0, seen * F.log(seen / want)).otherwise(0.0)
     ratio = 2 * (part(F.col("toxic"), expected(pos)) + part(F.col("clean"), expected(neg)))
     best = counts.where("word != ''").withColumn("ratio", ratio).where((F.col("ratio") >= LEAST_RATIO) & (F.col("toxic") > expected(pos)))
-    vocabulary = [r["word"] for r in best.orderBy(F.desc("ratio"), "word").limit(WORDS).collect()]
+    vocabulary = distinct_signs([(r["word"], (r["toxic"], r["clean"])) for r in best.orderBy(F.desc("ratio"), "word").limit(WORDS).collect()])
     index = {w: k for k, w in enumerate(vocabulary)}
 
     def instances(batches):
         for batch in batches:
             out = []
             for i, t, y in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                sentences = [s for m in SENTENCE.findall(t.lower()) if (s := sorted({index[w] for w in WORD.findall(m) if w in index}))]
+                sentences = [s for m in SENTENCE.findall(t.lower()) if (s := sorted({index[x] for w in WORD.findall(m) for x in signs(w) if x in index}))]
                 out.append((i, y, sentences))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.list_(pa.list_(pa.int32())))],
@@ -127,7 +140,23 @@ def fit(
 
     got = rows.select(F.col(id_col).cast("long").alias("id"), "text", "y").mapInArrow(instances, "id long, y int, sentences array<array<int>>")
     got = sorted(got.toArrow().to_pylist(), key=lambda r: r["id"])
-    return train(vocabulary, [(r["y"] == 1, r["sentences"]) for r in got], prior)
+    bags = [(r["y"] == 1, r["sentences"]) for r in got]
+    model = train(vocabulary, bags, prior)
+    for least in KEPT:
+        kept = {k: n for n, k in enumerate(k for k, w in enumerate(vocabulary) if model.weights[w] >= least)}
+        bags = [(y, [s for s in ([kept[w] for w in one if w in kept] for one in sentences) if s]) for y, sentences in bags]
+        vocabulary = [vocabulary[k] for k in kept]
+        model = train(vocabulary, bags, prior)
+    return model
+
+
+def distinct_signs(found: list[tuple[str, tuple[int, int]]]) -> list[str]:
+    """Without the beginnings that stand in just the documents of a longer sign: they would share its weight and say no more."""
+    by: dict[tuple[int, int], list[str]] = {}
+    for sign, counts in found:
+        by.setdefault(counts, []).append(sign)
+    longer = lambda a, b: len(b.rstrip("~")) > len(a) - 1 and b.startswith(a[:-1])
+    return [s for s, counts in found if not (s.endswith("~") and any(longer(s, other) for other in by[counts] if other != s))]
 
 
 def train(vocabulary: list[str], bags: list[tuple[bool, list[list[int]]]], prior: float) -> Model:
@@ -140,7 +169,7 @@ def train(vocabulary: list[str], bags: list[tuple[bool, list[list[int]]]], prior
     if not n_words:
         return Model({}, prior, prior)
     theta = np.zeros(n_words + 2)
-    theta[-2], theta[-1] = -1.0, prior - 2
+    theta[-2], theta[-1] = BIAS, prior - 2
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
         z = theta[-2] + np.bincount(owner, weights=theta[word], minlength=n_sentences)
@@ -150,8 +179,8 @@ def train(vocabulary: list[str], bags: list[tuple[bool, list[list[int]]]], prior
         slope = np.where(y > 0, -p_clean / (1 - p_clean), 1.0) / n
         by_sentence = slope[sentence_bag] * -1 / (1 + np.exp(-z))
         grad = np.zeros_like(theta)
-        grad[:n_words] = np.bincount(word, weights=by_sentence[owner], minlength=n_words) - RIDGE * theta[:n_words]
-        grad[-2], grad[-1] = by_sentence.sum(), (slope * -1 / (1 + np.exp(-theta[-1]))).sum()
+        grad[:n_words] = np.bincount(word, weights=by_sentence[owner], minlength=n_words) - RIDGE / n * theta[:n_words]
+        grad[-1] = (slope * -1 / (1 + np.exp(-theta[-1]))).sum()
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
         theta += RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return Model({w: float(x) for w, x in zip(vocabulary, theta, strict=False)}, float(theta[-2]), float(theta[-1]))

@@ -187,9 +187,17 @@ def test_decontamination(spark, monkeypatch, limit):
     half = " ".join(ITEM.split()[:8]) + " and nothing else of it"
     texts = [*ODD, filler + ITEM + filler, again, mixed, half, filler, OTHER.upper(), f"{OTHER} {OTHER}", OTHER.replace("capital", "biggest town"), filler + OTHER.replace(" ", "\n"), ITEM.lower()]
     got, n = leaked(spark, texts), len(ODD)
-    assert set(got) == {(n, 1), (n + 1, 1), *((n + k, i) for k in (5, 6, 7, 8) for i in (2, 3))}
+    assert set(got) == {(n, 1), (n + 1, 1), (n + 9, 1), *((n + k, i) for k in (5, 6, 7, 8) for i in (2, 3))}
     assert got[n, 1]["coverage"] == 1.0 and got[n, 1]["slots_changed"] == 0 and got[n + 1, 1]["slots_changed"] >= 4
-    assert all(0.5 <= r["coverage"] <= 1 for r in got.values())
+    assert all(0 < r["coverage"] <= 1 for r in got.values())
+
+
+def test_decontamination_of_a_part(spark):
+    """13 words of a long item are evidence, 12 aren't."""
+    words = [f"{a}{b}" for a in "bcdfghjklm" for b in ("an", "el", "iv", "or", "ud", "yst")]
+    benchmark = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    texts = [" ".join(["x y", *words[20 : 20 + n], "z"]) for n in (12, 13, 30)]
+    assert sorted(r["doc_id"] for r in decontaminate.leaks(documents(spark, texts), benchmark).collect()) == [1, 2]
 
 
 def test_decontamination_of_nothing(spark):
@@ -347,6 +355,7 @@ def test_toxicity(spark):
     docs = documents(spark, [*texts, *ODD])
     model = toxicity.fit(docs, labels)
     assert set(model.weights) == {"vile", "rotten", "awful"}
+    assert toxicity.distinct_signs([("rott~", (5, 1)), ("rotten", (5, 1)), ("rotte~", (5, 1)), ("lowe~", (9, 0)), ("lowei~", (9, 0)), ("loweian", (2, 0)), ("lott~", (5, 1))]) == ["rotten", "lowei~", "loweian", "lott~"]
     rows = by_id(toxicity.score(docs, model), "score", "offending")
     for t, (score, where) in zip([*texts, *ODD], rows, strict=True):
         bad = [w for w in ("vile", "rotten", "awful") if w in (t or "").lower()]
@@ -360,6 +369,8 @@ def test_toxicity_is_noisy_or():
     p = [1 / (1 + math.exp(-z)) for z in (1.0, 2.5, 0.5)]
     assert score == pytest.approx(1 - (1 - 1 / (1 + math.exp(3))) * math.prod(1 - x for x in p)) and [z for z, _, _ in found] == [1.0, 2.5, 0.5]
     assert model.score("badly İ embadded")[1] == []
+    stems = toxicity.Model({"rott~": 3.0, "rotten": 1.0}, -1.0, -3.0)
+    assert [z for z, _, _ in stems.score("Rotting. rotten rotten rotted! rott")[1]] == [2.0, 3.0]
 
 
 def test_toxicity_without_labels(spark):
