@@ -25,7 +25,7 @@ from tabulon.llm.common import append_columns
 
 SHORT = 256
 #: Words held by a memo: the older half goes when the newer half is full.
-MEMO = 1 << 18
+MEMO = 1 << 19
 NONE = 1 << 60
 # The word pattern that this vocabulary format prescribes. White space is the Unicode property.
 WORDS = regex.compile(
