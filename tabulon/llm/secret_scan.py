@@ -4,7 +4,7 @@
 are dropped. Offsets are code points, ends exclusive; an assignment's span is its whole match.
 
 *Tagger.* A line's tokens are tagged outside, begin or inside. Emission features: the token's shape, length class and
-character mix, the shapes and key words of the two tokens before and the one after, and whether the file holds assignments or
+character mix, the shapes of the two tokens before and the one after, a key word among the three before, and whether the file holds assignments or
 key words at all. Weights are trained here by maximum likelihood (forward-backward, full-batch Adam) on a bounded sample of
 documents, whose tokens within base spans are the positive labels; Viterbi decodes. A plain token (no digit in it, no
 assignment mark or key word among the two tokens before) can only be outside, by definition of the chain: so a line without a
@@ -35,7 +35,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_VALUE, LEAST_ACCESS = 12, 18
 KINDS = ("assign", "access", "hex")
 
-KEYWORD = re.compile(r"password|passwd|secret|token|api_?key|credential|private|access_?key|auth|bearer", re.A | re.I)
+KEYWORD = re.compile(r"password|passwd|secret|token|api_?key|credential|private|access_?key|auth|bearer|(?:^|_)key$", re.A | re.I)
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]*[A-Za-z0-9+/_]=*|[^\sA-Za-z0-9]|[^\s]", re.A)
 ASKS = re.compile(r"[0-9=:]")
 #: Expected numbers of training documents with and without base spans, and of tokens that one document adds at most.
@@ -45,8 +45,8 @@ OUT, BEGIN, IN = range(3)
 SHAPES = ("edge", "lower", "title", "upper", "letters", "number", "hex", "upper_digits", "mixed", "dotted", "assign", "quote", "mark", "keyword")
 LENGTHS = (4, 8, 12, 16, 24, 40)
 N_SHAPE, N_LENGTH, N_MIX = len(SHAPES), len(LENGTHS) + 1, 4
-#: Feature offsets: bias, shape x length, mix, shapes before (2) and after (1), key word before, file.
-OFFSETS = np.cumsum([0, 1, N_SHAPE * N_LENGTH, N_MIX, N_SHAPE, N_SHAPE, N_SHAPE, 2, 2])
+#: Feature offsets: bias, shape, length, both, mix, shapes before (2) and after (1), key word before, file.
+OFFSETS = np.cumsum([0, 1, N_SHAPE, N_LENGTH, N_SHAPE * N_LENGTH, N_MIX, N_SHAPE, N_SHAPE, N_SHAPE, 2, 2])
 N_FEATURES = int(OFFSETS[-1])
 
 
@@ -95,14 +95,15 @@ EDGE, KEYWORD_SHAPE, ASSIGN_SHAPE = SHAPES.index("edge"), SHAPES.index("keyword"
 def features(tokens: list[str], in_file: bool) -> tuple[list[tuple[int, ...]], list[bool]]:
     """Of each token its active features, and whether it is plain."""
     shapes = [shape(t) for t in tokens]
-    around = [EDGE, EDGE, *shapes, EDGE]
+    around = [EDGE, EDGE, EDGE, *shapes, EDGE]
     rows, plain = [], []
     for k, token in enumerate(tokens):
-        before2, before, own, after = around[k : k + 4]
+        before3, before2, before, own, after = around[k : k + 5]
         cued = KEYWORD_SHAPE in (before, before2) or ASSIGN_SHAPE in (before, before2)
         plain.append(not cued and not any(c.isdigit() for c in token))
         length = sum(len(token) >= x for x in LENGTHS)
-        parts = (0, own * N_LENGTH + length, mix(token), before, before2, after, int(KEYWORD_SHAPE in (before, before2)), int(in_file))
+        named = KEYWORD_SHAPE in (before, before2, before3)
+        parts = (0, own, length, own * N_LENGTH + length, mix(token), before, before2, after, int(named), int(in_file))
         rows.append(tuple(int(o) + p for o, p in zip(OFFSETS, parts, strict=False)))
     return rows, plain
 
