@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from decimal import Context, Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from tabulon.functions.text import BLANK, trim, trim_text
 BODY = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 NUMERIC = rf"\A{BLANK}*{BODY}{BLANK}*\z"
 INTEGER = rf"\A{BLANK}*[+-]?[0-9]+{BLANK}*\z"
+#: Numbers that a decimal(38,18) holds.
+SHORT = r"\A-?[0-9]{1,19}(?:\.[0-9]{1,18})?\z"
 PARTS = r"\A([+-]?)([0-9]*)\.?([0-9]*)(?:[eE]([+-]?)0*([0-9]*))?\z"
 _NUMERIC = re.compile(NUMERIC.replace(r"\z", r"\Z"))
 _PARTS = re.compile(PARTS.replace(r"\z", r"\Z"))
@@ -71,6 +74,12 @@ class Exact:
         body = f"{self.first + BIAS:019d}{self.digits}"
         return "0" + body.translate(str.maketrans(DIGITS, NINES)) + ":" if self.negative else "2" + body
 
+    def decimal(self) -> Decimal | None:
+        """The number as a decimal(38,18), None if it isn't one."""
+        if self.saturated or self.digits and (self.first > 18 or self.scale > 18):
+            return None
+        return Decimal((int(self.negative), tuple(map(int, self.digits or "0")), self.first + 1 - len(self.digits) if self.digits else 0)).quantize(Decimal(1).scaleb(-18), context=Context(prec=60))
+
     @property
     def precision(self) -> int:
         return (1 << 64) - 2 if self.saturated else max(1, len(self.digits))

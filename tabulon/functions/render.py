@@ -35,21 +35,33 @@ def declared(kind: T.DataType) -> ColumnType:
 
 
 def plain_double(c: Column) -> Column:
-    """The shortest digits that give the number back, without exponent; whole numbers without a point."""
+    """The shortest digits that give the number back, without exponent; whole numbers without a point.
+
+    The engine's own text has an exponent only below 0.001 and from 10 million on. Spreading one out is left to a lambda, as its
+    long expression would else be part of every scan's generated code.
+    """
     text = c.cast("string")
-    digits = F.regexp_extract(text, r"\A-?([0-9]+)\.?([0-9]*)", 1), F.regexp_extract(text, r"\A-?([0-9]+)\.([0-9]*)", 2)
-    exponent = F.coalesce(F.regexp_extract(text, r"E(-?[0-9]+)\z", 1).try_cast("int"), F.lit(0))
-    fraction = F.rtrim(digits[1], F.lit("0"))
-    mantissa = F.concat(digits[0], fraction)
-    point = F.length(digits[0]) + exponent
-    spread = (
-        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), mantissa))
-        .when(point >= F.length(mantissa), F.rpad(mantissa, point, "0"))
-        .otherwise(F.concat(F.substring(mantissa, F.lit(1), point), F.lit("."), F.substring(mantissa, point + 1, F.length(mantissa))))
+    spread = F.get(F.transform(F.array(text), _spread), F.lit(0))
+    return (
+        F.when(text.endswith(".0"), F.substring(text, F.lit(1), F.length(text) - 2))
+        .when(text.contains("E"), spread)
+        .when(text == "NaN", "nan")
+        .when(text.endswith("Infinity"), F.when(text.startswith("-"), "-inf").otherwise("inf"))
+        .otherwise(text)
+    )
+
+
+def _spread(text: Column) -> Column:
+    """A text like -1.25E-7 without its exponent."""
+    whole, fraction = (F.regexp_extract(text, r"\A-?([0-9])\.([0-9]+)E", k) for k in (1, 2))
+    digits = F.concat(whole, F.rtrim(fraction, F.lit("0")))
+    point = F.regexp_extract(text, r"E(-?[0-9]+)\z", 1).cast("int") + 1
+    placed = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= F.length(digits), F.rpad(digits, point, "0"))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits))))
     )
-    finite = F.when(fraction == "", F.when(exponent == 0, digits[0]).otherwise(spread)).otherwise(spread)
-    signed = F.concat(F.when(text.startswith("-"), "-").otherwise(""), finite)
-    return F.when(F.isnan(c), "nan").when(text == "Infinity", "inf").when(text == "-Infinity", "-inf").otherwise(signed)
+    return F.concat(F.when(text.startswith("-"), "-").otherwise(""), placed)
 
 
 def render(c: Column, kind: T.DataType) -> Column:

@@ -15,11 +15,10 @@ MOST = 1 << 17
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder only where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tabulon-")
-        spark.conf.set("spark.checkpoint.dir", where)
-        spark.sparkContext.setCheckpointDir(where)
+    where, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not where and not (where := getattr(context, "_tabulon_folder", None)):
+        where = context._tabulon_folder = "file://" + tempfile.mkdtemp(prefix="tabulon-")
+        context.setCheckpointDir(where)
     return where.rstrip("/")
 
 

@@ -18,8 +18,12 @@ _COMPARE = {Mode.LT: Column.__lt__, Mode.GT: Column.__gt__, Mode.LE: Column.__le
 def cell_match(request: SearchRequest, c: Column) -> Column:
     """Whether one cell (never null) matches."""
     if request.mode.ordering:
-        key = numeric.parse(request.value).key
-        return numeric.is_numeric(c) & _COMPARE[request.mode](numeric.exact_key(c), F.lit(key))
+        number, compare = numeric.parse(request.value), _COMPARE[request.mode]
+        exact = numeric.is_numeric(c) & compare(numeric.exact_key(c), F.lit(number.key))
+        if (value := number.decimal()) is None:
+            return exact
+        # almost all numbers are short: those compare as decimals, which hold them and the value exactly
+        return F.when(c.rlike(numeric.SHORT), compare(c.try_cast("decimal(38,18)"), F.lit(value))).otherwise(exact)
     value, text = (request.value, c) if request.case_sensitive else (fold_text(request.value), fold(c))
     if request.mode is Mode.TEXT:
         return text.contains(F.lit(value))

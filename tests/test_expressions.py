@@ -137,3 +137,18 @@ def test_format_cells(spark):
     assert cell("2024-03-05T07:08:09", zoned, Fm(preset=P.SHORT))[0] is display.Shown.ORIGINAL
     got = column(spark, ["1234567", "-0", "12", "x", "+1234"], display.grouped_integer, lambda c: display.formatted(c, I, Fm(grouping=True))["text"])
     assert got == [("1,234,567",) * 2, ("0",) * 2, ("12",) * 2, ("x",) * 2, ("1,234",) * 2]
+
+
+def test_comparisons_are_exact(spark):
+    """Every number against every other as the request's value, by decimals where they hold both and by keys elsewhere."""
+    from tabulon.plans.predicate import cell_match
+    from tabulon.spec import Mode, SearchRequest
+
+    more = ["9999999999999999999", "10000000000000000000", "0.000000000000000001", "0.0000000000000000001", "-9999999999999999999.999999999999999999", "1.0000000000000000001"]
+    values = [v for v in NUMBERS + more if "e4" not in v and "e-4" not in v]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values + NOT_NUMBERS)], "k int, v string")
+    for mode, holds in ((Mode.LT, lambda a, b: a < b), (Mode.GE, lambda a, b: a >= b)):
+        row = df.select("k", *(cell_match(SearchRequest(mode, w, 0), F.col("v")).alias(f"m{n}") for n, w in enumerate(values))).orderBy("k").collect()
+        for v, r in zip(values, row, strict=False):
+            assert [bool(x) for x in r[1:]] == [holds(fraction(v), fraction(w)) for w in values], (mode, v)
+        assert not any(any(r[1:]) for r in row[len(values) :])
