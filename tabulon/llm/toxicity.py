@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from tabulon.llm.common import append_columns, bound_batches, hash_share, split_of
 
 #: Expected number of labelled documents to learn from, and the most words of the vocabulary.
-LABELLED = 24_000
+LABELLED = 16_000
 WORDS = 2048
 LEAST_DOCS = 4
 #: The least log-likelihood ratio of a word in the vocabulary (chance exceeds it about once in 10**5).
