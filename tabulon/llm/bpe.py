@@ -25,7 +25,7 @@ from tabulon.llm.common import append_columns
 
 SHORT = 256
 #: Words held by a memo: the older half goes when the newer half is full.
-MEMO = 1 << 19
+MEMO = 1 << 18
 NONE = 1 << 60
 # The word pattern that this vocabulary format prescribes. White space is the Unicode property.
 WORDS = regex.compile(
@@ -82,6 +82,10 @@ class Memo(dict):
         self[word] = out
         return out
 
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
 
 class Odd(Exception):
     """A piece between spaces that isn't sure to be cut alone as it is within the text."""
@@ -106,6 +110,11 @@ class Codec:
         self.words = Memo(lambda w: ",".join(map(str, self.word_ids(w.encode()))))
         self.pieces = Memo(self._piece)
 
+    def forget(self) -> None:
+        """Workers outlive their tasks; what a task has memorised would else stay in their memory during other stages."""
+        self.words.forget()
+        self.pieces.forget()
+
     def word_ids(self, word: bytes) -> list[int]:
         ids = [self.byte_ids[b] for b in word]
         return self._scan(ids) if len(ids) <= SHORT else self._heap(ids)
@@ -193,6 +202,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep
             ids = [code.encode(t or "") for t in texts]
             return ids, [x.count(",") + 1 if x else 0 for x in ids], [code.decode(x) for x in ids]
 
+        kernel.close = code.forget
         return kernel
 
     return append_columns(docs, [text_col], make, FIELDS, keep)
@@ -214,6 +224,7 @@ def digests(docs: DataFrame, vocabulary: str, text_col: str = "text", keep=None)
                 of_text.append(sha(code.decode(ids)))
             return n, of_ids, of_text
 
+        kernel.close = code.forget
         return kernel
 
     return append_columns(docs, [text_col], make, DIGESTS, keep)
@@ -232,6 +243,7 @@ def encode_checked(docs: DataFrame, vocabulary: str, text_col: str = "text", kee
             ids = [code.encode(t or "") for t in texts]
             return ids, [x.count(",") + 1 if x else 0 for x in ids], [code.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]
 
+        kernel.close = code.forget
         return kernel
 
     return append_columns(docs, [text_col], make, CHECKED, keep)

@@ -68,7 +68,7 @@ def append_columns(
     """``keep`` columns of ``df`` (all by default) and ``fields`` computed from ``reads``.
 
     ``make()`` runs once a task and gives the kernel; the kernel takes one list per column of ``reads`` and gives one
-    sequence per field. An input column named like a new field (in any case) gives way to it. Memory is one Arrow batch and
+    sequence per field; a ``close`` attribute of it is called when the task ends. An input column named like a new field (in any case) gives way to it. Memory is one Arrow batch and
     the kernel's own state.
     """
     bound_batches(df.sparkSession)
@@ -85,16 +85,19 @@ def append_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
-        for whole in batches:
-            for at in range(0, whole.num_rows, KERNEL_ROWS):
-                batch = whole.slice(at, KERNEL_ROWS)
-                got = kernel(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in reads))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(batch.schema.get_field_index(c)) for c in keep),
-                        *(pa.array(x, type=kind) for x, kind in zip(got, kinds, strict=True)),
-                    ],
-                    names=[*keep, *names],
-                )
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, KERNEL_ROWS):
+                    batch = whole.slice(at, KERNEL_ROWS)
+                    got = kernel(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in reads))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(batch.column(batch.schema.get_field_index(c)) for c in keep),
+                            *(pa.array(x, type=kind) for x, kind in zip(got, kinds, strict=True)),
+                        ],
+                        names=[*keep, *names],
+                    )
+        finally:
+            getattr(kernel, "close", bool)()
 
     return source.mapInArrow(run, schema)
