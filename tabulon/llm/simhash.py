@@ -228,5 +228,6 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
     least = firsts.groupBy("component").agg(F.min("id").alias("least"))
     classes = firsts.join(least, "component").select(F.col("fp").alias("fingerprint_bits"), "least")
     every = nodes.select(F.col("fp").alias("fingerprint_bits"), F.col("node").alias("own")).join(classes, "fingerprint_bits", "left")
-    every = every.select("fingerprint_bits", F.coalesce("least", "own").alias("component_id"))
+    # written, so that the join's sides are plain shuffles, whose hot fingerprints Spark can split
+    every = written(every.select("fingerprint_bits", F.coalesce("least", "own").alias("component_id")), "components")
     return prints.join(every, "fingerprint_bits").select(F.col("id").alias(id_col), "fingerprint_bits", "component_id")
