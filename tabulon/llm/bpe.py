@@ -25,7 +25,7 @@ from tabulon.llm.common import append_columns
 
 SHORT = 256
 #: Words held by a memo: the older half goes when the newer half is full.
-MEMO = 1 << 18
+MEMO = 1 << 19
 NONE = 1 << 60
 # The word pattern that this vocabulary format prescribes. White space is the Unicode property.
 WORDS = regex.compile(
@@ -107,7 +107,8 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {str(i): content.encode() for content, i in self.special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words = Memo(lambda w: ",".join(map(str, self.word_ids(w.encode()))))
+        self.decimal = [str(i) for i in range(len(vocab) + len(self.special))]
+        self.words = Memo(self._ids)
         self.pieces = Memo(self._piece)
 
     def forget(self) -> None:
@@ -154,10 +155,15 @@ class Codec:
                     heapq.heappush(heap, (rank, a, ids[a], ids[b]))
         return [x for x in ids if x >= 0]
 
+    def _ids(self, word: str) -> str:
+        return ",".join(map(self.decimal.__getitem__, self.word_ids(word.encode())))
+
     def _piece(self, piece: str) -> str:
         """Of a space and what follows up to the next space. Words never reach over a space that stands between two others."""
         if len(piece) < 2 or piece[1].isspace() or piece[-1].isspace():
             raise Odd
+        if piece[1:].isalpha():  # letters alone are one word
+            return self._ids(piece)
         return ",".join(map(self.words.__getitem__, words_of(piece)))
 
     def _part(self, text: str) -> str:
