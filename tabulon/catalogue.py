@@ -372,6 +372,18 @@ def display_cap(spark, sf_dir):
     return rows.select(F.col(f"c{i}").alias("doc_id"), shown["truncated"].alias("truncated"), whole.alias("begins"))
 
 
+@query(f"select source_row, doc_id::varchar as doc_id, strlen(coalesce(text, '')) > {DISPLAY_BYTES} as truncated, true as begins from {NUMBERED.format('documents')}")
+def display_cap_whole(spark, sf_dir):
+    """Every row of the table; display_cap shows those of its SQL only."""
+    t = opened(spark, sf_dir, "documents")
+    from tabulon.functions.text import cap
+
+    text = F.coalesce(F.col(f"c{at(t, 'text')}"), F.lit(""))
+    shown = cap(text, DISPLAY_BYTES)
+    whole = text.startswith(shown["text"]) & (F.octet_length(shown["text"]) <= DISPLAY_BYTES)
+    return t.view().numbered.select("source_row", F.col(f"c{at(t, 'doc_id')}").alias("doc_id"), shown["truncated"].alias("truncated"), whole.alias("begins"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _FOUND.items()}
 
