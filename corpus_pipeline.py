@@ -1,7 +1,8 @@
-"""The corpus pipeline: five stages from raw documents to token ids, each over all that the stage before kept.
+"""The corpus pipeline: six stages from raw documents to token ids, each over all that the stage before kept.
 
 Rows are documents (doc_id, text, lang, source, n_chars). Language identification rejects texts in no known language;
-near-duplicate groups keep the document with the smallest id; documents that leak a benchmark item go; secrets are replaced by
+near-duplicate groups keep the document with the smallest id, and so do groups of similar texts (0.8 of their 5-word
+shingles); documents that leak a benchmark item go; secrets are replaced by
 a mark (``n_chars`` follows the text); what is left is encoded, and decoded again as a test of each row.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import bpe, decontaminate, langid, secret_scan, simhash
+from tabulon.llm import bpe, decontaminate, langid, secret_scan, similar, simhash
 from tabulon.llm.common import table, written
 from tabulon.llm.queries import VOCABULARY
 
@@ -33,6 +34,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.select(COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
 
 
+def similar_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose sets of 5-word shingles have Jaccard similarity 0.8 with a smaller id's, which may be many bits apart."""
+    return similar.without_similar(docs.select(COLUMNS)).select(COLUMNS)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that leak an item of the benchmark table."""
     return decontaminate.without_leaks(docs.select(COLUMNS), table(spark, sf_dir, "benchmark")).select(COLUMNS)
@@ -52,6 +58,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language", language),
     ("near_duplicates", near_duplicates),
+    ("similar_texts", similar_texts),
     ("decontamination", decontamination),
     ("secrets", secrets),
     ("encoding", encoding),
