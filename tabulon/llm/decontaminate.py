@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions alone.
 
 A text becomes tokens: runs of letters, numbers, and sentence ends (one token ``.``). Numbers become ``<num>``, unit words after a number
-``<unit>``, and capitalised words within a sentence ``<name>``; other words are lower-cased. Windows of ``WINDOW`` template
+``<unit>``, and capitalised words within a sentence ``<name>``; other words are lower-cased. A word that opens a sentence may be
+a name or not, so a text has two templates, with such openers as words and as names; each is held against its like. Windows of ``WINDOW`` template
 tokens are hash-joined between the benchmark and the documents: all windows of the items, and every ``stride``-th window of
 the documents, so that any common run of WINDOW + stride - 1 tokens is found; the stride follows from the shortest item.
 A hit fixes how an item lies over a document; along that alignment every window of the item is then compared. A document
@@ -9,7 +10,7 @@ leaks an item if the windows that agree are at least ``COVERAGE`` of the item's,
 number or unit, wherever it stands in the agreeing windows, always faces the same value in the document. So re-parameterised
 copies are caught, and texts that merely share a template's shape are not.
 
-The item windows are broadcast where their count is at most ``BROADCAST``; otherwise both sides are shuffled by the window.
+The item windows, of both templates, are broadcast where their count is at most ``BROADCAST``; otherwise both sides are shuffled by the window.
 Defined cases: null and empty texts leak nothing; items under WINDOW tokens are too short to be evidence and are never
 matched; repeated items are told apart by item id; an item's windows that a document holds many times count once.
 """
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.llm.common import written
+
 WINDOW = 5
 STRIDE = 4
 COVERAGE = 0.5
@@ -50,13 +53,24 @@ def templates(raw: Column) -> Column:
         low, before = F.lower(t), F.when(i > 0, F.get(raw, i - 1)).otherwise(".")
         unit = low.isin(UNITS) & first_in(before, *"0123456789")
         small = F.when(first_in(t, *"0123456789"), "<num>").when(first_in(t, *".!?"), ".").when(unit, "<unit>").otherwise(t)
-        # a capital and then a small letter, or a capital alone, within a sentence
-        named = (F.substring(t, 1, 1) != F.substring(low, 1, 1)) & (F.substring(t, 2, 1) == F.substring(low, 2, 1)) & ~first_in(before, *".!?")
+        named = _named(t) & ~first_in(before, *".!?")
         return F.when(low == t, small).otherwise(F.when(unit, "<unit>").when(named, "<name>").otherwise(low))
 
     return F.transform(raw, one)
 
 
+def _named(t: Column) -> Column:
+    """A capital and then a small letter, or a capital alone."""
+    low = F.lower(t)
+    return (F.substring(t, 1, 1) != F.substring(low, 1, 1)) & (F.substring(t, 2, 1) == F.substring(low, 2, 1))
+
+
+def opened(t: Column, raw: Column) -> Column:
+    """The template ``t`` with capitalised words that open a sentence, or the text, as names."""
+    opens = lambda i: F.when(i == 0, True).otherwise(F.get(t, i - 1) == ".")
+    return F.transform(t, lambda x, i: F.when(F.when(opens(i), _named(F.get(raw, i))).otherwise(False), "<name>").otherwise(x))
+
+
 def window(parts: Column, at: Column) -> Column:
     """Hash of the window that begins at ``at`` (from 0)."""
     return F.xxhash64(F.slice(parts, at + 1, WINDOW))
@@ -67,9 +81,10 @@ def starts(parts: Column, step: int | Column = 1) -> Column:
 
 
 def prepared(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, t (template tokens), v (values)."""
+    """id, both templates (``words``: openers as words, ``names``: as names), v (values)."""
     out = df.select(F.col(f"`{id_col}`").alias("id"), tokens(F.col(f"`{text_col}`")).alias("v"))
-    return out.select("id", templates(F.col("v")).alias("t"), "v")
+    out = out.select("id", templates(F.col("v")).alias("words"), "v")
+    return out.select("id", "words", opened(F.col("words"), F.col("v")).alias("names"), "v")
 
 
 def leaks(
@@ -81,52 +96,53 @@ def leaks(
     item_text_col: str = "text",
 ) -> DataFrame:
     """(doc id, item id, coverage, slots, slots_changed) of every document and item that it leaks."""
-    items = prepared(benchmark, item_col, item_text_col).where(F.size("v") >= WINDOW).select(F.col("id").alias("item"), F.col("t").alias("it"), F.col("v").alias("iv"))
-    shortest, n_windows = items.agg(F.min(F.size("it")), F.sum(F.size("it") - WINDOW + 1)).first()
+    items = prepared(benchmark, item_col, item_text_col).where(F.size("v") >= WINDOW)
+    shortest, n_windows = items.agg(F.min(F.size("v")), F.sum(F.size("v") - WINDOW + 1)).first()
     stride = max(1, min(STRIDE, (shortest or WINDOW) - WINDOW + 1))
-    keys = items.select("item", "it", "iv", F.posexplode(F.transform(starts(F.col("it")), lambda i: window(F.col("it"), i))).alias("ipos", "key"))
-    parts = prepared(docs, id_col, text_col)
+    small = 2 * (n_windows or 0) <= BROADCAST
+    items = items.select(F.col("id").alias("item"), F.explode(F.array(F.struct(F.lit(False).alias("named"), F.col("words").alias("it")), F.struct(F.lit(True).alias("named"), F.col("names").alias("it")))).alias("x"), F.col("v").alias("iv"))
+    items = items.select("item", "x.named", "x.it", "iv")
+    keys = items.select("item", "named", F.size("it").alias("length"), F.posexplode(F.transform(starts(F.col("it")), lambda i: window(F.col("it"), i))).alias("ipos", "key"))
+    # only keys are dealt; the documents that have hits are read again for the comparison
+    at = lambda t, named: F.transform(starts(F.col(t), stride), lambda i: F.struct(window(F.col(t), i).alias("key"), i.alias("pos"), F.lit(named).alias("named")))
     # the outer form, as else a filter is inferred that makes all windows twice; a null window joins with nothing
-    asked = parts.select("id", "t", "v", F.explode_outer(F.transform(starts(F.col("t"), stride), lambda i: F.struct(window(F.col("t"), i).alias("key"), i.alias("pos")))).alias("w"))
-    small = (n_windows or 0) <= BROADCAST
-    looked = F.broadcast(keys.select("key", "item", "ipos", F.size("it").alias("length"))) if small else keys.select("key", "item", "ipos", F.size("it").alias("length"))
-    if small:
-        asked = asked.select("id", "t", "v", F.col("w.key").alias("key"), F.col("w.pos").alias("pos"))
-        hits = asked.join(looked, "key")
-        # what lies under the item at this alignment; positions before the text are padded away by ``cut``
-        offset = F.col("pos") - F.col("ipos")
-        low = F.greatest(offset, F.lit(0))
-        cut = lambda c: F.slice(F.col(c), low + 1, F.col("length") + offset - low)
-        placed = hits.select("id", "item", offset.alias("offset"), (low - offset).alias("skipped"), cut("t").alias("t"), cut("v").alias("v"))
-    else:
-        # only keys are shuffled; the documents that have hits are read again for the comparison
-        asked = asked.select("id", F.col("w.key").alias("key"), F.col("w.pos").alias("pos"))
-        hits = asked.join(looked, "key").select("id", "item", (F.col("pos") - F.col("ipos")).alias("offset"), "length").distinct()
-        low = F.greatest(F.col("offset"), F.lit(0))
-        cut = lambda c: F.slice(F.col(c), low + 1, F.col("length") + F.col("offset") - low)
-        placed = hits.join(parts, "id").select("id", "item", "offset", (low - F.col("offset")).alias("skipped"), cut("t").alias("t"), cut("v").alias("v"))
-    # equal alignments of one text come from many windows, and repeated ids may carry different texts
+    asked = prepared(docs, id_col, text_col).select("id", F.explode_outer(F.concat(at("words", False), at("names", True))).alias("w"))
+    asked = asked.select("id", F.col("w.key").alias("key"), F.col("w.pos").alias("pos"), F.col("w.named").alias("named"))
+    hits = asked.join(F.broadcast(keys) if small else keys, ["key", "named"])
+    hits = written(hits.select("id", "named", "item", (F.col("pos") - F.col("ipos")).alias("offset"), "length").distinct(), "hits")
+    # what lies under the item at this alignment; positions before the text are padded away by ``cut``
+    low = F.greatest(F.col("offset"), F.lit(0))
+    cut = lambda c: F.slice(c, low + 1, F.col("length") + F.col("offset") - low)
+    hit = hits.select(F.col("id").alias("hit")).distinct()
+    again = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    parts = prepared(again.join(hit, again["id"].eqNullSafe(hit["hit"]), "left_semi"), "id", "text").withColumnRenamed("id", "own")
+    placed = hits.join(parts, F.col("id").eqNullSafe(F.col("own")))
+    placed = placed.select("id", "item", "named", "offset", (low - F.col("offset")).alias("skipped"), cut(F.when(F.col("named"), F.col("names")).otherwise(F.col("words"))).alias("t"), cut(F.col("v")).alias("v"))
+    # repeated ids may carry different texts, or one text
     placed = placed.distinct()
-    texts = F.broadcast(items) if small else items
-    compared = placed.join(texts, "item")
+    compared = placed.join(F.broadcast(items) if small else items, ["item", "named"])
     agree = F.filter(
         starts(F.col("t")),
         lambda j: F.slice(F.col("t"), j + 1, WINDOW) == F.slice(F.col("it"), j + F.col("skipped") + 1, WINDOW),
     )
-    compared = compared.select("id", "item", "offset", "skipped", "t", "v", "iv", F.size("it").alias("length"), agree.alias("agree")).where(F.size("agree") > 0)
+    compared = compared.select("id", "item", "named", "offset", "skipped", "t", "v", "iv", F.size("it").alias("length"), agree.alias("agree")).where(F.size("agree") > 0)
     under = F.array_distinct(F.flatten(F.transform(F.col("agree"), lambda j: F.sequence(j, j + WINDOW - 1))))
     slots = F.transform(
         F.filter(under, lambda j: F.get(F.col("t"), j).startswith("<")),
         lambda j: F.struct(F.get(F.col("iv"), j + F.col("skipped")).alias("a"), F.get(F.col("v"), j).alias("b")),
     )
-    compared = compared.select("id", "item", "length", F.transform("agree", lambda j: j + F.col("skipped")).alias("windows"), F.array_distinct(slots).alias("slots"))
-    pairs = compared.groupBy("id", "item", "length").agg(
+    compared = compared.select("id", "item", "named", "length", F.transform("agree", lambda j: j + F.col("skipped")).alias("windows"), F.array_distinct(slots).alias("slots"))
+    pairs = compared.groupBy("id", "item", "named", "length").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("windows")))).alias("n"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"), F.max(_consistency(F.col("slots"))).alias("consistent")
     )
     coverage = F.col("n") / (F.col("length") - WINDOW + 1)
     changed = F.size(F.filter("slots", lambda s: s["a"] != s["b"]))
-    return pairs.where(((coverage >= COVERAGE) | (F.col("n") >= RUN)) & (F.col("consistent") >= CONSISTENT)).select(
-        F.col("id").alias(id_col), F.col("item").alias(item_col), coverage.alias("coverage"), F.size("slots").alias("slots"), changed.alias("slots_changed")
+    found = pairs.where(((coverage >= COVERAGE) | (F.col("n") >= RUN)) & (F.col("consistent") >= CONSISTENT))
+    # of both templates the one that covers more, openers as words first
+    best = F.min(F.struct((-coverage).alias("less"), "named", F.size("slots").alias("slots"), changed.alias("changed"))).alias("best")
+    found = found.groupBy("id", "item").agg(best)
+    return found.select(
+        F.col("id").alias(id_col), F.col("item").alias(item_col), (-F.col("best.less")).alias("coverage"), F.col("best.slots").alias("slots"), F.col("best.changed").alias("slots_changed")
     )
 
 
