@@ -3,8 +3,8 @@
 A text becomes tokens: runs of letters, numbers, and sentence ends (one token ``.``). Numbers become ``<num>``, unit words after a number
 ``<unit>``, and capitalised words within a sentence ``<name>``; other words are lower-cased. A word that opens a sentence may be
 a name or not, so a text has two templates, with such openers as words and as names; each is held against its like. Windows of ``WINDOW`` template
-tokens are hash-joined between the benchmark and the documents: all windows of the items, and every ``stride``-th window of
-the documents, so that any common run of WINDOW + stride - 1 tokens is found; the stride follows from the shortest item.
+tokens are hash-joined between the benchmark and the documents: all windows of both, as the windows that are evidence may lie
+apart, each a run of WINDOW tokens of its own.
 A hit fixes how an item lies over a document; along that alignment every window of the item is then compared. A document
 leaks an item if the windows that agree are at least ``COVERAGE`` of the item's, or ``RUN`` of them, and the slots are consistent: an item's name,
 number or unit, wherever it stands in the agreeing windows, always faces the same value in the document. So re-parameterised
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from tabulon.llm.common import written
 
 WINDOW = 5
-STRIDE = 4
 COVERAGE = 0.5
 #: Agreeing windows that are evidence however long the item is: those of 13 tokens in a row.
 RUN = 9
@@ -76,8 +75,8 @@ def window(parts: Column, at: Column) -> Column:
     return F.xxhash64(F.slice(parts, at + 1, WINDOW))
 
 
-def starts(parts: Column, step: int | Column = 1) -> Column:
-    return F.when(F.size(parts) >= WINDOW, F.sequence(F.lit(0), F.size(parts) - WINDOW, F.lit(step))).otherwise(F.array().cast("array<int>"))
+def starts(parts: Column) -> Column:
+    return F.when(F.size(parts) >= WINDOW, F.sequence(F.lit(0), F.size(parts) - WINDOW, F.lit(1))).otherwise(F.array().cast("array<int>"))
 
 
 def prepared(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -97,14 +96,13 @@ def leaks(
 ) -> DataFrame:
     """(doc id, item id, coverage, slots, slots_changed) of every document and item that it leaks."""
     items = prepared(benchmark, item_col, item_text_col).where(F.size("v") >= WINDOW)
-    shortest, n_windows = items.agg(F.min(F.size("v")), F.sum(F.size("v") - WINDOW + 1)).first()
-    stride = max(1, min(STRIDE, (shortest or WINDOW) - WINDOW + 1))
+    n_windows = items.agg(F.sum(F.size("v") - WINDOW + 1)).first()[0]
     small = 2 * (n_windows or 0) <= BROADCAST
     items = items.select(F.col("id").alias("item"), F.explode(F.array(F.struct(F.lit(False).alias("named"), F.col("words").alias("it")), F.struct(F.lit(True).alias("named"), F.col("names").alias("it")))).alias("x"), F.col("v").alias("iv"))
     items = items.select("item", "x.named", "x.it", "iv")
     keys = items.select("item", "named", F.size("it").alias("length"), F.posexplode(F.transform(starts(F.col("it")), lambda i: window(F.col("it"), i))).alias("ipos", "key"))
     # only keys are dealt; the documents that have hits are read again for the comparison
-    at = lambda t, named: F.transform(starts(F.col(t), stride), lambda i: F.struct(window(F.col(t), i).alias("key"), i.alias("pos"), F.lit(named).alias("named")))
+    at = lambda t, named: F.transform(starts(F.col(t)), lambda i: F.struct(window(F.col(t), i).alias("key"), i.alias("pos"), F.lit(named).alias("named")))
     # the outer form, as else a filter is inferred that makes all windows twice; a null window joins with nothing
     asked = prepared(docs, id_col, text_col).select("id", F.explode_outer(F.concat(at("words", False), at("names", True))).alias("w"))
     asked = asked.select("id", F.col("w.key").alias("key"), F.col("w.pos").alias("pos"), F.col("w.named").alias("named"))

@@ -20,3 +20,12 @@ def test_names_that_open_sentences(spark, monkeypatch, limit):
     runs = RUNS.replace("Tom", "Bob").replace("Mary", "Ann").replace("Sue", "Eve").replace("5", "8").replace("4", "6").replace("2", "3")
     mixed = "Anna has 7 apples. Bert buys 4 more. How many has Carl?"
     assert found(spark, [TOM, RUNS], [anna, "Words before it. " + runs + " Words behind.", mixed, TOM.lower(), "Nobody has any apples. Some buy more."]) == {(0, 0), (1, 1), (3, 0)}
+
+
+def test_every_position(spark):
+    """Runs of 6 and 7 tokens that cover half of a short item, and two runs of 7 around a change, behind 0 to 7 other words."""
+    words = "amber basil cedar daisy elder ferns grape hazel irises jasmine kelp lilac maple nettle olive".split()
+    eight, fifteen = words[:8], words[:7] + ["changed"] + words[8:]
+    texts = [" ".join([*["pad"] * k, *part, "end"]) for k in range(8) for part in (eight[:6], fifteen)]
+    got = found(spark, [" ".join(eight), " ".join(words)], texts)
+    assert got == {(2 * k + n, i) for k in range(8) for n, i in ((0, 0), (1, 0), (1, 1))}
