@@ -317,6 +317,18 @@ def neutralize_cells(spark, sf_dir):
     return t.rows.select(i.alias("doc_id"), neutralize(cell).alias("safe"))
 
 
+_SIGN = "case coalesce(doc_id, 3) % 4 when 0 then '=' when 1 then '-' when 2 then '+1.5' else '' end"
+
+
+@query(f"select source_row, doc_id, {_RISKY.format('cell')} as safe, {_RISKY.format('sign')} as safe_sign from (select source_row, doc_id, {_SIGN} as sign, {_SIGN} || coalesce(text, '') as cell from {NUMBERED.format('documents')})")
+def neutralize_whole_cells(spark, sf_dir):
+    """Signs before whole texts, and signs alone; neutralize_cells takes what its SQL does."""
+    t = opened(spark, sf_dir, "documents")
+    i, text = F.col(f"c{at(t, 'doc_id')}").cast("long"), F.coalesce(F.col(f"c{at(t, 'text')}"), F.lit(""))
+    sign = F.when(i % 4 == 0, "=").when(i % 4 == 1, "-").when(i % 4 == 2, "+1.5").otherwise("")
+    return t.view().numbered.select("source_row", i.alias("doc_id"), neutralize(F.concat(sign, text)).alias("safe"), neutralize(sign).alias("safe_sign"))
+
+
 def _quoted(c: str) -> str:
     return f"case when regexp_matches({c}, '[\\t\\r\\n\"]') then '\"' || replace({c}, '\"', '\"\"') || '\"' else {c} end"
 
