@@ -1,23 +1,32 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions alone.
 
-A text becomes tokens: runs of letters, numbers, and sentence ends (one token ``.``). Numbers become ``<num>``, unit words after a number
-``<unit>``, and capitalised words within a sentence ``<name>``; other words are lower-cased. A word that opens a sentence may be
-a name or not, so a text has two templates, with such openers as words and as names; each is held against its like. Windows of ``WINDOW`` template
-tokens are hash-joined between the benchmark and the documents: all windows of both, as the windows that are evidence may lie
-apart, each a run of WINDOW tokens of its own.
-A hit fixes how an item lies over a document; along that alignment every window of the item is then compared. A document
-leaks an item if the windows that agree are at least ``COVERAGE`` of the item's, or ``RUN`` of them, and the slots are consistent: an item's name,
-number or unit, wherever it stands in the agreeing windows, always faces the same value in the document. So re-parameterised
-copies are caught, and texts that merely share a template's shape are not.
-
-The item windows, of both templates, are broadcast where their count is at most ``BROADCAST``; otherwise both sides are shuffled by the window.
-Defined cases: null and empty texts leak nothing; items under WINDOW tokens are too short to be evidence and are never
-matched; repeated items are told apart by item id; an item's windows that a document holds many times count once.
+A text becomes tokens: words (runs of letters and marks; in scripts without spaces each letter), numbers, and sentence ends
+(one token ``.``). Numbers become ``<num>``, unit words after a number ``<unit>``, and capitalised words within a sentence
+``<name>``; other words are lower-cased. A word that opens a sentence may be a name or not, so a text has two templates, with
+such openers as words and as names; windows of the second are asked only where it differs. Windows of ``WINDOW`` template
+tokens that hold a literal word are hash-joined between the benchmark and the documents: all windows of both.
+
+A hit is an item's window at a place of a document; the difference of both positions is its alignment. Alignments of an item
+that follow each other by up to ``GAP`` tokens (half an item's length, if less) are one copy with insertions or deletions. Each
+alignment is judged alone and each such copy as a whole: a document leaks an item if the item's windows that it finds are at
+least ``COVERAGE`` of the item's, or ``RUN`` of them, and its slots are consistent. Each slot of a window found pairs a value of
+the item (a number, unit or name) with the document's value at that place. A pair is at odds if the item's value also faces
+another value, or, of names, if the document's name also faces another name; at least ``CONSISTENT`` of the distinct pairs must
+not be. So re-parameterised copies are caught, and texts that merely share a template's shape are not.
+
+The item windows are broadcast where their count is at most ``BROADCAST``; otherwise both sides are shuffled by the window. The
+rows are the same either way: documents are told apart by id (null counts as a value) and hash of the text.
+
+Defined cases: null and empty texts leak nothing. A text under WINDOW tokens is one window, so a short item is found where it
+is a document's whole template. An item whose windows hold no literal word is never matched. Repeated items are told apart by
+item id, a null one included; an item's windows that a document holds many times count once; repeated rows give one row a pair.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import written
@@ -27,14 +36,34 @@ COVERAGE = 0.5
 #: Agreeing windows that are evidence however long the item is: those of 13 tokens in a row.
 RUN = 9
 CONSISTENT = 0.9
+#: The most tokens inserted or left out between two parts of a copy.
+GAP = 8
 BROADCAST = 500_000
-TOKENS = r"\p{L}++|[0-9]++(?:[.,][0-9]++)*+|[.!?]++"
-# Unit words.
+# Blocks of scripts that are written without spaces; unit words.
+SPACELESS = r"฀-໿က-႟ក-៿⺀-꓏豈-﫿\x{20000}-\x{3ffff}"
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms pound pounds ounce ounces ton tons "
     "ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years "
     "percent dollar dollars cent cents euro euros degree degrees meter meters metre metres kilometer kilometers kilometre kilometres"
 ).split()
+TOKENS = (
+    rf"[a-zA-Z]++(?![\p{{L}}\p{{M}}])|[{SPACELESS}&&[\p{{L}}\p{{M}}]]|[\p{{L}}\p{{M}}&&[^{SPACELESS}]]++"
+    r"|\p{Nd}++(?:[.,]\p{Nd}++)*+|[.!?。！？]++"
+)
+#: From a text to its template: numbers, sentence ends, letters of scripts without spaces, what lies between tokens.
+REWRITES = (
+    (r"\p{Nd}++(?:[.,]\p{Nd}++)*+", " 0 "),
+    (r"[.!?。！？]++", " . "),
+    (rf"([{SPACELESS}&&[\p{{L}}\p{{M}}]])", " $1 "),
+    (r"[^a-zA-Z\p{L}\p{M}0.]++", " "),
+)
+#: And then, between single spaces: units, openers, names.
+MARKS = (
+    (rf"0 (?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?= |\z)", "0 1"),
+    (r"\. \p{Lu}(?!\p{Lu})[^ ]*+", ". 3"),
+    (r"\A\p{Lu}(?!\p{Lu})[^ ]*+", "3"),
+    (r" \p{Lu}(?!\p{Lu})[^ ]*+", " 2"),
+)
 
 
 def tokens(text: Column) -> Column:
@@ -42,48 +71,63 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKENS), F.lit(0))
 
 
-def templates(raw: Column) -> Column:
-    """The template token of each raw token."""
-
-    def first_in(t: Column, *marks: str) -> Column:
-        return F.coalesce(F.substring(t, 1, 1).isin(*marks), F.lit(False))
-
-    def one(t: Column, i: Column) -> Column:
-        low, before = F.lower(t), F.when(i > 0, F.get(raw, i - 1)).otherwise(".")
-        unit = low.isin(UNITS) & first_in(before, *"0123456789")
-        small = F.when(first_in(t, *"0123456789"), "<num>").when(first_in(t, *".!?"), ".").when(unit, "<unit>").otherwise(t)
-        named = _named(t) & ~first_in(before, *".!?")
-        return F.when(low == t, small).otherwise(F.when(unit, "<unit>").when(named, "<name>").otherwise(low))
-
-    return F.transform(raw, one)
-
-
-def _named(t: Column) -> Column:
-    """A capital and then a small letter, or a capital alone."""
-    low = F.lower(t)
-    return (F.substring(t, 1, 1) != F.substring(low, 1, 1)) & (F.substring(t, 2, 1) == F.substring(low, 2, 1))
-
-
-def opened(t: Column, raw: Column) -> Column:
-    """The template ``t`` with capitalised words that open a sentence, or the text, as names."""
-    opens = lambda i: F.when(i == 0, True).otherwise(F.get(t, i - 1) == ".")
-    return F.transform(t, lambda x, i: F.when(F.when(opens(i), _named(F.get(raw, i))).otherwise(False), "<name>").otherwise(x))
-
-
-def window(parts: Column, at: Column) -> Column:
-    """Hash of the window that begins at ``at`` (from 0)."""
-    return F.xxhash64(F.slice(parts, at + 1, WINDOW))
-
-
-def starts(parts: Column) -> Column:
-    return F.when(F.size(parts) >= WINDOW, F.sequence(F.lit(0), F.size(parts) - WINDOW, F.lit(1))).otherwise(F.array().cast("array<int>"))
-
-
-def prepared(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, both templates (``words``: openers as words, ``names``: as names), v (values)."""
-    out = df.select(F.col(f"`{id_col}`").alias("id"), tokens(F.col(f"`{text_col}`")).alias("v"))
-    out = out.select("id", templates(F.col("v")).alias("words"), "v")
-    return out.select("id", "words", opened(F.col("words"), F.col("v")).alias("names"), "v")
+def template(text: Column) -> Column:
+    """The template tokens, one for each raw token, between single spaces. No number is left, so digits are the marks: ``0`` a
+    number, ``1`` a unit, ``2`` a name, and ``3`` a capitalised word that opens a sentence."""
+    s = F.coalesce(text, F.lit(""))
+    for pattern, put in REWRITES:
+        s = F.regexp_replace(s, pattern, put)
+    s = F.trim(s)
+    for pattern, put in MARKS:
+        s = F.regexp_replace(s, pattern, put)
+    return F.lower(s)
+
+
+def windows(parts: Column, hashed: Callable[[Column], Column] = F.xxhash64) -> Column:
+    """The windows of a template's tokens; a short text is one window."""
+    last = F.greatest(F.size(parts) - WINDOW, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: hashed(F.slice(parts, i + 1, WINDOW)))
+
+
+def _as_opener(n: int) -> Callable[[Column, Column], Column]:
+    return lambda x, k: F.when((x == "2") & (k == n), "3").otherwise(x)
+
+
+def item_windows(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    """key, item, length (tokens), total (windows with a literal word), ipos, and the window's slots (place, value, kind).
+
+    A window has a key for each way in which a document may hold it: its sentence openers as openers, as names, or as plain
+    words; and its names as openers.
+    """
+    text = F.col(f"`{item_text_col}`")
+    items = benchmark.select(F.col(f"`{item_col}`").alias("item"), tokens(text).alias("v"), F.split(template(text), " ").alias("t")).where(F.size("v") > 0)
+    each = items.select("*", F.posexplode(windows(F.col("t"), lambda w: w)).alias("ipos", "w"))
+    each = each.where(F.exists("w", lambda x: ~x.isin("0", "1", "2", "3", ".")))
+    raw = lambda k: F.lower(F.get(F.col("v"), F.col("ipos") + k))
+    ways = [
+        F.col("w"),
+        F.transform("w", lambda x: F.when(x == "3", "2").otherwise(x)),
+        F.transform("w", lambda x, k: F.when(x == "3", raw(k)).otherwise(x)),
+        *(F.transform("w", _as_opener(n)) for n in range(WINDOW)),
+    ]
+    slots = F.transform("w", lambda x, k: F.struct(k.alias("k"), F.get(F.col("v"), F.col("ipos") + k).alias("a"), F.when(x == "3", "2").otherwise(x).alias("kind")))
+    slots = F.filter(slots, lambda s: s["kind"].isin("0", "1", "2"))
+    keys = F.array_distinct(F.array(*(F.xxhash64(w) for w in ways)))
+    each = each.select("item", F.size("v").alias("length"), "ipos", slots.alias("slots"), F.explode(keys).alias("key"))
+    total = each.groupBy("item").agg(F.countDistinct("ipos").alias("total")).withColumnRenamed("item", "counted")
+    return each.join(total, F.col("item").eqNullSafe(F.col("counted"))).drop("counted").distinct()
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """id, hash, pos and the item window that is found there."""
+    keys = written(item_windows(benchmark, item_col, item_text_col), "item-windows")
+    small = keys.count() <= BROADCAST
+    text = F.col(f"`{text_col}`")
+    # a column of its own at each step, as a generator evaluates what it repeats; the outer form, as else a filter is inferred
+    # that makes all windows again
+    found = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("hash"), F.split(template(text), " ").alias("t"))
+    asked = found.select("id", "hash", F.posexplode_outer(windows(F.col("t"))).alias("pos", "key"))
+    return written(asked.join(F.broadcast(keys) if small else keys, "key").drop("key"), "hits")
 
 
 def leaks(
@@ -95,61 +139,53 @@ def leaks(
     item_text_col: str = "text",
 ) -> DataFrame:
     """(doc id, item id, coverage, slots, slots_changed) of every document and item that it leaks."""
-    items = prepared(benchmark, item_col, item_text_col).where(F.size("v") >= WINDOW)
-    n_windows = items.agg(F.sum(F.size("v") - WINDOW + 1)).first()[0]
-    small = 2 * (n_windows or 0) <= BROADCAST
-    items = items.select(F.col("id").alias("item"), F.explode(F.array(F.struct(F.lit(False).alias("named"), F.col("words").alias("it")), F.struct(F.lit(True).alias("named"), F.col("names").alias("it")))).alias("x"), F.col("v").alias("iv"))
-    items = items.select("item", "x.named", "x.it", "iv")
-    keys = items.select("item", "named", F.size("it").alias("length"), F.posexplode(F.transform(starts(F.col("it")), lambda i: window(F.col("it"), i))).alias("ipos", "key"))
-    # only keys are dealt; the documents that have hits are read again for the comparison
-    at = lambda t, named: F.transform(starts(F.col(t)), lambda i: F.struct(window(F.col(t), i).alias("key"), i.alias("pos"), F.lit(named).alias("named")))
-    # the outer form, as else a filter is inferred that makes all windows twice; a null window joins with nothing
-    asked = prepared(docs, id_col, text_col).select("id", F.explode_outer(F.concat(at("words", False), at("names", True))).alias("w"))
-    asked = asked.select("id", F.col("w.key").alias("key"), F.col("w.pos").alias("pos"), F.col("w.named").alias("named"))
-    hits = asked.join(F.broadcast(keys) if small else keys, ["key", "named"])
-    hits = written(hits.select("id", "named", "item", (F.col("pos") - F.col("ipos")).alias("offset"), "length").distinct(), "hits")
-    # what lies under the item at this alignment; positions before the text are padded away by ``cut``
-    low = F.greatest(F.col("offset"), F.lit(0))
-    cut = lambda c: F.slice(c, low + 1, F.col("length") + F.col("offset") - low)
-    hit = hits.select(F.col("id").alias("hit")).distinct()
-    again = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    parts = prepared(again.join(hit, again["id"].eqNullSafe(hit["hit"]), "left_semi"), "id", "text").withColumnRenamed("id", "own")
-    placed = hits.join(parts, F.col("id").eqNullSafe(F.col("own")))
-    placed = placed.select("id", "item", "named", "offset", (low - F.col("offset")).alias("skipped"), cut(F.when(F.col("named"), F.col("names")).otherwise(F.col("words"))).alias("t"), cut(F.col("v")).alias("v"))
-    # repeated ids may carry different texts, or one text
-    placed = placed.distinct()
-    compared = placed.join(F.broadcast(items) if small else items, ["item", "named"])
-    agree = F.filter(
-        starts(F.col("t")),
-        lambda j: F.slice(F.col("t"), j + 1, WINDOW) == F.slice(F.col("it"), j + F.col("skipped") + 1, WINDOW),
-    )
-    compared = compared.select("id", "item", "named", "offset", "skipped", "t", "v", "iv", F.size("it").alias("length"), agree.alias("agree")).where(F.size("agree") > 0)
-    under = F.array_distinct(F.flatten(F.transform(F.col("agree"), lambda j: F.sequence(j, j + WINDOW - 1))))
-    slots = F.transform(
-        F.filter(under, lambda j: F.get(F.col("t"), j).startswith("<")),
-        lambda j: F.struct(F.get(F.col("iv"), j + F.col("skipped")).alias("a"), F.get(F.col("v"), j).alias("b")),
-    )
-    compared = compared.select("id", "item", "named", "length", F.transform("agree", lambda j: j + F.col("skipped")).alias("windows"), F.array_distinct(slots).alias("slots"))
-    pairs = compared.groupBy("id", "item", "named", "length").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("windows")))).alias("n"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"), F.max(_consistency(F.col("slots"))).alias("consistent")
-    )
-    coverage = F.col("n") / (F.col("length") - WINDOW + 1)
-    changed = F.size(F.filter("slots", lambda s: s["a"] != s["b"]))
-    found = pairs.where(((coverage >= COVERAGE) | (F.col("n") >= RUN)) & (F.col("consistent") >= CONSISTENT))
-    # of both templates the one that covers more, openers as words first
-    best = F.min(F.struct((-coverage).alias("less"), "named", F.size("slots").alias("slots"), changed.alias("changed"))).alias("best")
+    found = leaking(docs, benchmark, id_col, text_col, item_col, item_text_col)
+    # rows of one id may carry different texts: the one that covers more speaks for the id
+    best = F.max(F.struct("coverage", "slots", "slots_changed")).alias("best")
     found = found.groupBy("id", "item").agg(best)
-    return found.select(
-        F.col("id").alias(id_col), F.col("item").alias(item_col), (-F.col("best.less")).alias("coverage"), F.col("best.slots").alias("slots"), F.col("best.changed").alias("slots_changed")
-    )
-
-
-def _consistency(slots: Column) -> Column:
-    """Share of item values that face one document value only; 1 without slots."""
-    values = F.array_distinct(slots["a"])
-    return F.when(F.size(slots) == 0, 1.0).otherwise(1.0 - (F.size(slots) - F.size(values)) / F.size(slots))
-
-
-def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that leak an item; rows with a null id stay."""
-    return docs.join(leaks(docs, benchmark, id_col, text_col).select(id_col).distinct(), id_col, "left_anti")
+    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "best.coverage", "best.slots", "best.slots_changed")
+
+
+def leaking(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """id, hash, item, coverage, slots and slots_changed of the best copy of each item in each text."""
+    found = hits(docs, benchmark, id_col, text_col, item_col, item_text_col)
+    # the texts that are hit give their values: only they are tokenised again
+    own = found.select(F.col("id").alias("own_id"), F.col("hash").alias("own_hash")).distinct()
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    same = rows["id"].eqNullSafe(own["own_id"]) & (F.xxhash64(rows["text"]) == own["own_hash"])
+    values = rows.join(own, same, "left_semi").select(F.col("id").alias("own_id"), F.xxhash64("text").alias("own_hash"), tokens(F.col("text")).alias("v")).dropDuplicates(["own_id", "own_hash"])
+    placed = found.join(values, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("hash") == F.col("own_hash")))
+    pairs = F.transform("slots", lambda s: F.struct(s["kind"].alias("kind"), s["a"].alias("a"), F.get(F.col("v"), F.col("pos") + s["k"]).alias("b")))
+    key = ["id", "hash", "item", "length", "total"]
+    placed = placed.select(*key, "ipos", (F.col("pos") - F.col("ipos")).alias("offset"), pairs.alias("pairs"))
+    by = Window.partitionBy("id", "hash", "item").orderBy("offset")
+    near = F.least(F.lit(GAP), F.expr("length div 2"))
+    first = F.coalesce(F.col("offset") - F.lag("offset").over(by) > near, F.lit(True)).cast("int")
+    placed = placed.withColumn("first", first)
+    placed = placed.withColumn("copy", F.sum("first").over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    # each alignment alone, and the copy that it belongs to
+    key = [*key, "copy", "alone"]
+    scoped = written(placed.select(*key[:-1], F.explode(F.array(F.lit(None).cast("int"), F.col("offset"))).alias("alone"), "ipos", "pairs"), "placed")
+    n = scoped.groupBy(*key).agg(F.countDistinct("ipos").alias("n"))
+    n = n.where((F.col("n") >= COVERAGE * F.col("total")) | (F.col("n") >= RUN))
+    each = scoped.select(*key, F.explode("pairs").alias("p")).select(*key, "p.kind", "p.a", "p.b").distinct()
+    facing, faced = Window.partitionBy(*key, "kind", "a"), Window.partitionBy(*key, "kind", "b")
+    odd = (F.count("*").over(facing) > 1) | (F.col("kind") == "2") & (F.count("*").over(faced) > 1)
+    judged = each.withColumn("odd", odd).groupBy(*key).agg(F.count("*").alias("slots"), F.count(F.when(F.col("odd"), 1)).alias("odd"), F.count(F.when(F.col("a") != F.col("b"), 1)).alias("slots_changed"))
+    names = ["id", "item", "alone"]
+    rest = [k for k in key if k not in names]
+    judged = judged.select(*(F.col(k).alias(f"j_{k}") for k in key), "slots", "odd", "slots_changed")
+    match = F.lit(True)
+    for k in key:
+        match = match & (F.col(k).eqNullSafe(F.col(f"j_{k}")) if k in names else F.col(k) == F.col(f"j_{k}"))
+    whole = n.join(judged, match, "left").select(*names, *rest, "n", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("slots", "odd", "slots_changed")))
+    kept = whole.where(F.col("odd") <= (1 - CONSISTENT) * F.col("slots"))
+    best = F.max(F.struct((F.col("n") / F.col("total")).alias("coverage"), "slots", "slots_changed")).alias("best")
+    return kept.groupBy("id", "hash", "item").agg(best).select("id", "hash", "item", "best.coverage", "best.slots", "best.slots_changed")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text leaks an item, whatever their id."""
+    bad = leaking(docs, benchmark, id_col, text_col, item_col, item_text_col).select(F.col("id").alias("bad_id_"), F.col("hash").alias("bad_hash_")).distinct()
+    same = docs[f"`{id_col}`"].eqNullSafe(bad["bad_id_"]) & (F.xxhash64(docs[f"`{text_col}`"]) == bad["bad_hash_"])
+    return docs.join(bad, same, "left_anti")
