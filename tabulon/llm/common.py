@@ -6,13 +6,15 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one kernel call; a batch from Spark is cut to this many, so that one call's Python objects stay small.
-KERNEL_ROWS = 256
+#: Rows and bytes of texts of one kernel call; a batch from Spark is cut to these, so that one call's Python objects stay small.
+KERNEL_ROWS, KERNEL_BYTES = 256, 8 << 20
 #: Rows of an Arrow batch between the JVM and Python, unless the session sets its own number: whole documents are large rows.
 BATCH_ROWS = 1000
 BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -58,6 +60,21 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
 
 
+def cuts(batch: pa.RecordBatch, reads: Sequence[str]) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of parts of a batch with at most KERNEL_ROWS rows and KERNEL_BYTES of strings; one row may be larger."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for c in reads:
+        column = batch.column(batch.schema.get_field_index(c))
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + KERNEL_BYTES, "right"))
+        n = max(1, min(KERNEL_ROWS, most - at, batch.num_rows - at))
+        yield at, n
+        at += n
+
+
 def append_columns(
     df: DataFrame,
     reads: Sequence[str],
@@ -87,8 +104,8 @@ def append_columns(
         kernel = make()
         try:
             for whole in batches:
-                for at in range(0, whole.num_rows, KERNEL_ROWS):
-                    batch = whole.slice(at, KERNEL_ROWS)
+                for at, n in cuts(whole, reads):
+                    batch = whole.slice(at, n)
                     got = kernel(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in reads))
                     yield pa.RecordBatch.from_arrays(
                         [

@@ -149,11 +149,18 @@ def leaks(
 def leaking(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
     """id, hash, item, coverage, slots and slots_changed of the best copy of each item in each text."""
     found = hits(docs, benchmark, id_col, text_col, item_col, item_text_col)
-    # the texts that are hit give their values: only they are tokenised again
-    own = found.select(F.col("id").alias("own_id"), F.col("hash").alias("own_hash")).distinct()
+    # a copy can't have more of an item's windows than the whole text has, so most texts need no closer look
+    pair = ["id", "hash", "item"]
+    enough = lambda n: (n >= COVERAGE * F.col("total")) | (n >= RUN)
+    likely = found.groupBy(*pair).agg(F.countDistinct("ipos").alias("n"), F.first("total").alias("total")).where(enough(F.col("n")))
+    likely = written(likely.select(*(F.col(c).alias(f"l_{c}") for c in pair)), "likely")
+    found = found.distinct().join(likely, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("hash") == F.col("l_hash")) & F.col("item").eqNullSafe(F.col("l_item")), "left_semi")
+    # the other texts give their values: they are tokenised again
+    own = likely.select(F.col("l_id").alias("own_id"), F.col("l_hash").alias("own_hash")).distinct()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     same = rows["id"].eqNullSafe(own["own_id"]) & (F.xxhash64(rows["text"]) == own["own_hash"])
-    values = rows.join(own, same, "left_semi").select(F.col("id").alias("own_id"), F.xxhash64("text").alias("own_hash"), tokens(F.col("text")).alias("v")).dropDuplicates(["own_id", "own_hash"])
+    values = rows.join(own, same, "left_semi").select(F.col("id").alias("own_id"), F.xxhash64("text").alias("own_hash"), "text").dropDuplicates(["own_id", "own_hash"])
+    values = values.select("own_id", "own_hash", tokens(F.col("text")).alias("v"))
     placed = found.join(values, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("hash") == F.col("own_hash")))
     pairs = F.transform("slots", lambda s: F.struct(s["kind"].alias("kind"), s["a"].alias("a"), F.get(F.col("v"), F.col("pos") + s["k"]).alias("b")))
     key = ["id", "hash", "item", "length", "total"]
@@ -167,7 +174,7 @@ def leaking(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, i
     key = [*key, "copy", "alone"]
     scoped = written(placed.select(*key[:-1], F.explode(F.array(F.lit(None).cast("int"), F.col("offset"))).alias("alone"), "ipos", "pairs"), "placed")
     n = scoped.groupBy(*key).agg(F.countDistinct("ipos").alias("n"))
-    n = n.where((F.col("n") >= COVERAGE * F.col("total")) | (F.col("n") >= RUN))
+    n = n.where(enough(F.col("n")))
     each = scoped.select(*key, F.explode("pairs").alias("p")).select(*key, "p.kind", "p.a", "p.b").distinct()
     facing, faced = Window.partitionBy(*key, "kind", "a"), Window.partitionBy(*key, "kind", "b")
     odd = (F.count("*").over(facing) > 1) | (F.col("kind") == "2") & (F.count("*").over(faced) > 1)

@@ -9,17 +9,18 @@ no language has seen costs its context's escapes plus the row of the window that
 A text's code length in a language is the sum over all its bytes, the first ones in the context of line ends. The least
 length wins (the first language in order on ties); the score is the winner's posterior under equal priors.
 
-Null texts and texts without a letter are ``und`` with score 0, whatever their length; so is every text where no language
-could be learned.
+Null texts and texts without a letter (Unicode category L) are ``und`` with score 0, whatever their length; so is every text
+where no language could be learned, as from an empty table or from empty texts alone. A text's result depends on itself and the
+model, not on the texts beside it; repeated rows get equal results. Input columns named like the new ones give way to them.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +32,7 @@ ORDER = 3
 DOCS_PER_LANGUAGE = 1200
 UND = "und"
 PAD = b"\n" * ORDER
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Bytes scored by one pass of array operations.
 SLICE = 1 << 18
 
@@ -123,8 +124,9 @@ def fit(
 ) -> Model:
     """Statistics of the documents for which ``learn`` holds and text and language are known.
 
-    Of each language about ``docs_per_language`` documents are taken, by a hash of the id; their windows are counted on the
-    executors and the distinct ones come to the driver, so what arrives is bounded by the sample.
+    Of each language about ``docs_per_language`` distinct texts are taken, by a hash of the text, so that repeated ids or rows
+    don't add up; their windows are counted on the executors and the distinct ones come to the driver, so what arrives is bounded
+    by the sample.
     """
     bound_batches(docs.sparkSession)
     known = docs.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
@@ -132,8 +134,8 @@ def fit(
     if not totals:
         return freeze({})
     share = F.create_map(*(F.lit(x) for lang, n in sorted(totals.items()) for x in (lang, min(1.0, docs_per_language / n))))
-    taken = known.where(hash_share("langid", id_col) < F.element_at(share, F.col(lang_col)) * (1 << 20))
-    rows = window_counts(taken, text_col, lang_col).toArrow()
+    taken = known.where(hash_share("langid", text_col) < F.element_at(share, F.col(lang_col)) * (1 << 20))
+    rows = window_counts(taken.select(text_col, lang_col).distinct(), text_col, lang_col).toArrow()
     langs, windows, n = (rows.column(c).to_numpy() for c in ("lang", "window", "n"))
     counts = {}
     for lang in sorted(totals):
@@ -145,6 +147,7 @@ def fit(
 
 def freeze(counts: dict[str, tuple[np.ndarray, np.ndarray]], docs: int = 0) -> Model:
     """counts: of each language, its sorted windows of ORDER + 1 bytes and their numbers."""
+    counts = {lang: found for lang, found in counts.items() if len(found[0])}  # empty texts alone teach nothing
     languages = sorted(counts)
     model = Model(languages, [], [], [], [], docs)
     if not languages:
@@ -201,24 +204,30 @@ class Scorer:
         return out
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
-        """Code length of each text in each language."""
+        """Code length of each text in each language. A text is cut from its begin into pieces of SLICE bytes, each summed on
+        its own, so that no sum depends on the other texts."""
         out = np.zeros((len(texts), len(self.model.languages)))
-        lengths = np.array([len(t) for t in texts], np.int64)
-        data = np.frombuffer(b"".join(x for t in texts for x in (PAD, t)), np.uint8)
-        ends = np.cumsum(lengths + ORDER)
-        for low in range(0, max(0, len(data) - ORDER), SLICE):
-            part = data[low : low + SLICE + ORDER]
-            if len(part) <= ORDER:
-                break
-            rows = self._rows(keys_of(part, ORDER))
-            at = np.arange(low + ORDER, low + ORDER + len(rows))
-            doc = np.searchsorted(ends, [at[0], at[-1]], "right")
-            starts = ends - lengths - ORDER
-            for d0 in (range(doc[0], doc[1] + 1),):
-                edge = np.clip(starts[d0.start : d0.stop] + ORDER - at[0], 0, len(rows))
-                stop = np.clip(ends[d0.start : d0.stop] - at[0], 0, len(rows))
-                sums = np.vstack([np.zeros(rows.shape[1]), np.cumsum(rows, axis=0)])
-                out[d0.start : d0.stop] += sums[stop] - sums[np.minimum(edge, stop)]
+        pieces = [(k, at) for k, t in enumerate(texts) for at in range(0, len(t), SLICE)]
+        padded = {k: PAD + texts[k] for k, _ in pieces}
+        low = 0
+        while low < len(pieces):
+            high, size = low, 0
+            while high < len(pieces) and (high == low or size + len(texts[pieces[high][0]]) <= SLICE):
+                size += len(texts[pieces[high][0]]) - pieces[high][1]
+                high += 1
+            parts = [padded[k][at : at + SLICE + ORDER] for k, at in pieces[low:high]]
+            lengths = np.array([len(p) for p in parts])
+            keys = keys_of(np.frombuffer(b"".join(parts), np.uint8), ORDER)
+            # windows that reach over from one piece to the next belong to none
+            ends = np.cumsum(lengths)
+            own = np.ones(len(keys), bool)
+            for gap in range(ORDER):
+                own[(ends[:-1] - ORDER + gap)] = False
+            firsts = np.concatenate([[0], np.cumsum(lengths - ORDER)[:-1]])
+            sums = np.add.reduceat(self._rows(keys[own]), firsts, axis=0)
+            for (k, _), row in zip(pieces[low:high], sums, strict=True):
+                out[k] += row
+            low = high
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:

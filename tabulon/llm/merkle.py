@@ -1,13 +1,19 @@
 """Document fingerprints: Merkle trees over pieces, paragraphs and sections, by built-in functions alone.
 
-A text's lines are its paragraphs; each paragraph's leaves are runs of ``PIECE_WORDS`` words from its start. A paragraph's
-hash is SHA-256 of its text, a section's that of its paragraphs' hashes (``SECTION`` paragraphs a section), the root's that of
-the sections'; the root is the fingerprint. Equal roots mean equal texts. Unequal roots are compared branch by branch:
-sections, then paragraphs that differ locate an edit, and the likeness of two trees is the share of leaves that both have
-(twice the common ones over the sum of both; repeated leaves count once).
-
-Null texts count as empty; an empty text has a root but no leaf, and two texts without leaves have likeness 1. Texts are
-hashed whole.
+A text's lines are its paragraphs. A paragraph is cut into pieces, the leaves, where its own words say so: a piece has at least
+``LEAST`` words and ends with the first word after them that ends with a character of ``ENDS``, or with the ``MOST``th word; so
+behind an edit the cuts soon fall where they did before. A leaf's hash is SHA-256 of the piece, white space included; a
+paragraph's that of its length in bytes and its leaves' hashes; sections are runs of paragraphs that end with one whose hash
+begins with ``0`` (16 paragraphs on average), so inserted lines move no other section; a section's hash is that of its
+paragraphs' hashes, and the root's that of the sections'. The root is the fingerprint: equal roots mean equal texts.
+
+Two trees are compared from the root down: below a section that the other tree has too nothing differs, so only the other
+sections are entered. Their paragraphs that the other tree lacks locate the edit, and their leaves that it lacks are counted:
+the likeness is the share of distinct leaves that both trees have, twice the common ones over the sum of both.
+
+Null texts count as empty; the empty text has one paragraph and no leaf; two texts without leaves have likeness 1. Texts are
+hashed whole. Ids may be null or repeated; rows of equal id are ordered by a hash of the text; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -15,49 +21,83 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SECTION = 16
-PIECE_WORDS = 4
+# Fixed values of the fingerprint: white space, characters at whose words pieces end, and the words of a piece.
+BLANK = r"\x09\x0B-\x0D\x20"
+WORD = r"[^\x09-\x0D\x20]"
+ENDS = "aenst.!?,;:"
+LEAST, MOST = 3, 8
+PIECE = rf"(?:{WORD}+[{BLANK}]+){{0,{LEAST - 1}}}(?:{WORD}*[^\x09-\x0D\x20{ENDS}][{BLANK}]+){{0,{MOST - LEAST}}}{WORD}+[{BLANK}]*"
+#: Sections that are told apart one by one; trees of more are compared by all their leaves, with the same result.
+PRUNED = 4096
+#: Parts pieces; where a text holds it, it cuts too, and the paragraph's length tells such texts apart.
+MARK = "\x1f"
 #: Bytes of text in a bucket of neighbouring ids, and the most buckets (their table is broadcast).
 BUCKET_BYTES = 16 << 20
 BUCKETS = 1 << 16
 CELLS = 4096
 
 
-def paragraphs(text: Column) -> Column:
-    """Hashes of the lines."""
-    return F.transform(F.split(text, "\n", -1), lambda p: F.sha2(p, 256))
+def leaves(text: Column) -> Column:
+    """Hashes of the pieces of each paragraph: an array of arrays."""
+    cut = F.regexp_replace(text, PIECE, f"$0{MARK}")
+    pieces = lambda line: F.filter(F.split(line, MARK, -1), lambda p: p != "")
+    return F.transform(F.split(cut, "\n", -1), lambda line: F.transform(pieces(line), lambda p: F.sha2(p, 256)))
 
 
-def sections(hashes: Column) -> Column:
-    """Hashes of runs of paragraphs."""
-    last = ((F.size(hashes) - 1) / SECTION).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.sha2(F.array_join(F.slice(hashes, i * SECTION + 1, SECTION), ""), 256))
+def paragraphs(text: Column, leaf: Column) -> Column:
+    """Hashes of the paragraphs over their leaves."""
+    sizes = F.transform(F.split(text, "\n", -1), lambda line: F.octet_length(line).cast("string"))
+    return F.zip_with(sizes, leaf, lambda n, own: F.sha2(F.concat(n, F.array_join(own, "")), 256))
 
 
-def root(text: Column) -> Column:
-    return F.sha2(F.array_join(sections(paragraphs(text)), ""), 256)
+def cuts(paragraph: Column) -> Column:
+    """Where sections begin (from 0), and behind them the number of paragraphs."""
+    n = F.size(paragraph)
+    inner = F.filter(F.sequence(F.lit(1), n), lambda i: (i < n) & F.get(paragraph, i - 1).startswith("0"))
+    return F.concat(F.array(F.lit(0)), inner, F.array(n))
 
 
-def leaves(text: Column) -> Column:
-    """Distinct hashes of the pieces: up to PIECE_WORDS words, never over a line's end."""
-    piece = rf"(?:[^\s]++[^\S\n]*+){{1,{PIECE_WORDS}}}"
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(piece), F.lit(0)), lambda p: F.xxhash64(F.rtrim(p))))
+def runs(paragraph: Column, cut: Column) -> Column:
+    """Of each section: hash, first paragraph (from 0) and number of paragraphs."""
+    one = lambda i: F.struct(
+        F.sha2(F.array_join(F.slice(paragraph, F.get(cut, i) + 1, F.get(cut, i + 1) - F.get(cut, i)), ""), 256).alias("hash"),
+        F.get(cut, i).alias("first"),
+        (F.get(cut, i + 1) - F.get(cut, i)).alias("n"),
+    )
+    return F.transform(F.sequence(F.lit(0), F.size(cut) - 2), one)
+
+
+def root(section: Column) -> Column:
+    return F.sha2(F.array_join(section["hash"], ""), 256)
+
+
+def tree(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds ``name``_leaf, ``name``_par and ``name``_sec: the tree of column ``text``, each level a column made once."""
+    df = df.withColumn(f"{name}_leaf", leaves(F.col(text)))
+    df = df.withColumn(f"{name}_par", paragraphs(F.col(text), F.col(f"{name}_leaf")))
+    df = df.withColumn(f"{name}_cut", cuts(F.col(f"{name}_par")))
+    return df.withColumn(f"{name}_sec", runs(F.col(f"{name}_par"), F.col(f"{name}_cut"))).drop(f"{name}_cut")
+
+
+def entered(a: str, b: str) -> Column:
+    """Numbers (from 0) of the paragraphs of tree ``a`` below sections that tree ``b`` lacks."""
+    sec = F.col(f"{a}_sec")
+    lacked = F.array_except(sec["hash"], F.col(f"{b}_sec")["hash"])
+    below = F.filter(sec, lambda s: F.array_contains(lacked, s["hash"]))
+    inside = lambda found: F.flatten(F.transform(found, lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1)))
+    return F.when(F.size(lacked) == 0, F.array().cast("array<int>")).when(F.size(sec) > PRUNED, inside(sec)).otherwise(inside(below))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Of two leaf sets, 0 to 1."""
-    sizes = F.size(a) + F.size(b)
-    return F.when(sizes == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / sizes)
+def lacked_paragraphs(a: str, b: str, places: Column) -> Column:
+    """Distinct hashes of the paragraphs of ``a``, among ``places``, that ``b`` lacks, in order."""
+    return F.array_except(F.transform(places, lambda i: F.get(F.col(f"{a}_par"), i)), F.col(f"{b}_par"))
 
 
-def changed(a: Column, b: Column) -> Column:
-    """Numbers (from 0) of the paragraphs of ``b`` whose hash ``a`` lacks at that place: where an edit lies. Sections with equal
-    hashes are skipped whole."""
-    pa, pb = paragraphs(a), paragraphs(b)
-    sa, sb = sections(pa), sections(pb)
-    differing = F.filter(F.sequence(F.lit(0), F.size(sb) - 1), lambda i: ~F.coalesce(F.get(sa, i) == F.get(sb, i), F.lit(False)))
-    inside = F.flatten(F.transform(differing, lambda i: F.sequence(i * SECTION, F.least(i * SECTION + SECTION, F.size(pb)) - 1)))
-    return F.filter(inside, lambda i: ~F.coalesce(F.get(pa, i) == F.get(pb, i), F.lit(False)))
+def likeness(a: str, b: str, places: Column) -> Column:
+    """0 to 1; ``places``: the paragraphs of ``a`` that may hold leaves that ``b`` lacks."""
+    own, other = (F.size(F.array_distinct(F.flatten(f"{t}_leaf"))) for t in (a, b))
+    lacked = F.size(F.array_except(F.flatten(F.transform(places, lambda i: F.get(F.col(f"{a}_leaf"), i))), F.flatten(f"{b}_leaf")))
+    return F.when(own + other == 0, 1.0).otherwise(2.0 * (own - lacked) / (own + other))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -101,20 +141,28 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of every text, of its edited text (its last half replaced by the start of the next document) and the
-    likeness of its tree to the edited text's and the next document's."""
+    """Fingerprints of every text and of its edited text (its last half replaced by the start of the next document), the likeness
+    of its tree to the edited text's and the next document's, and where the edited tree differs: how many distinct paragraphs, and
+    the first (from 0, null if none)."""
     rows = with_next(docs, id_col, text_col)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half))
     rows = rows.select("id", n.cast("long").alias("n_chars"), "text", "next", edited.alias("edited"))
-    rows = rows.select("*", leaves(F.col("text")).alias("own"), leaves(F.col("edited")).alias("edit"), leaves(F.col("next")).alias("beside"))
+    rows = tree(rows, "text", "a").select("id", "n_chars", "edited", "next", "a_leaf", "a_par", "a_sec")
+    rows = tree(rows, "edited", "b").withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+    rows = rows.withColumn("places", entered("a", "b")).withColumn("near_edited", likeness("a", "b", F.col("places"))).withColumn("places", entered("b", "a"))
+    rows = rows.withColumn("lacked", lacked_paragraphs("b", "a", F.col("places"))).withColumn("first_edited", F.array_position("b_par", F.get("lacked", F.lit(0))) - 1)
+    rows = rows.withColumn("edited_fingerprint", root(F.col("b_sec"))).drop("b_leaf", "b_par", "b_sec")
+    rows = tree(rows, "next", "c").withColumn("beside", entered("a", "c"))
     return rows.select(
         F.col("id").alias(id_col),
         "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        root(F.col("text")).alias("fingerprint"),
-        root(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edit")).alias("near_edited"),
-        likeness(F.col("own"), F.col("beside")).alias("near_next"),
+        "edited_sha256",
+        root(F.col("a_sec")).alias("fingerprint"),
+        "edited_fingerprint",
+        "near_edited",
+        likeness("a", "c", F.col("beside")).alias("near_next"),
+        F.size("lacked").cast("long").alias("edited_paragraphs"),
+        F.col("first_edited").cast("long").alias("first_edited"),
     )

@@ -61,7 +61,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
-    return found.select("doc_id", (~toxicity.learnable()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return found.select("doc_id", (~toxicity.learnable()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
 
 
 OPERATORS = (op1_sharding, op2_bpe, op3_language, op4_merkle, op5_decontaminate, op6_licenses, op7_simhash, op8_secrets, op9_warc, op10_toxicity)
@@ -71,20 +71,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in OPERATORS}
 
 
-_LEAVES = r"list_distinct(list_transform(regexp_extract_all({}, '(?:[^\s]+[^\S\n]*){{1,4}}'), lambda x: rtrim(x)))"
-_PARAGRAPHS = "list_transform(string_split({}, chr(10)), lambda x: sha256(x))"
-_SECTIONS = "list_transform(range(0, len({0}), 16), lambda i: sha256(array_to_string({0}[i + 1 : i + 16], '')))"
+_PIECE = r"(?:[^\x09-\x0D\x20]+[\x09\x0B-\x0D\x20]+){{0,2}}(?:[^\x09-\x0D\x20]*[^\x09-\x0D\x20aenst.!?,;:][\x09\x0B-\x0D\x20]+){{0,5}}[^\x09-\x0D\x20]+[\x09\x0B-\x0D\x20]*"
+_LEAVES = f"list_transform(string_split(regexp_replace({{}}, '{_PIECE}', '\\0' || chr(31), 'g'), chr(10)), lambda x: list_transform(list_filter(string_split(x, chr(31)), lambda p: p <> ''), lambda p: sha256(p)))"
+_PARAGRAPHS = "list_transform(list_zip(string_split({0}, chr(10)), {1}), lambda x: sha256(strlen(x[1])::varchar || array_to_string(x[2], '')))"
+_CUTS = "list_concat([0], list_filter(range(1, len({0})), lambda i: starts_with({0}[i], '0')), [len({0})])"
+_SECTIONS = "list_transform(range(1, len({1})), lambda i: sha256(array_to_string({0}[{1}[i] + 1 : {1}[i + 1]], '')))"
 _LIKE = "case when len({0}) + len({1}) = 0 then 1.0 else 2.0 * len(list_intersect({0}, {1})) / (len({0}) + len({1})) end"
-#: What SQL can express: the Merkle fingerprints (by the leaves themselves in place of their hashes) and the archives' index.
+_CHANGED = "list_filter(range(0, len(p2)), lambda i: not list_contains(p1, p2[i + 1]))"
+#: What SQL can express: the Merkle fingerprints (likeness by flat sets of leaves) and the archives' index.
 SQL = {
     "op4_merkle": f"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
 n as (select *, coalesce(lead(text) over (order by doc_id), first_value(text) over (order by doc_id)) as next, length(text) as n_chars, length(text) // 2 as h from d),
 e as (select *, left(text, n_chars - h) || left(next, h) as edited from n),
-p as (select *, {_PARAGRAPHS.format('text')} as p1, {_PARAGRAPHS.format('edited')} as p2, {_LEAVES.format('text')} as l1, {_LEAVES.format('edited')} as l2, {_LEAVES.format('next')} as l3 from e)
-select doc_id, n_chars, sha256(edited) as edited_sha256, sha256(array_to_string({_SECTIONS.format('p1')}, '')) as fingerprint,
-  sha256(array_to_string({_SECTIONS.format('p2')}, '')) as edited_fingerprint, ({_LIKE.format('l1', 'l2')})::double as near_edited, ({_LIKE.format('l1', 'l3')})::double as near_next
-from p""",
+l as (select *, {_LEAVES.format('text')} as v1, {_LEAVES.format('edited')} as v2, {_LEAVES.format('next')} as v3 from e),
+p as (select *, {_PARAGRAPHS.format('text', 'v1')} as p1, {_PARAGRAPHS.format('edited', 'v2')} as p2 from l),
+c as (select *, {_CUTS.format('p1')} as c1, {_CUTS.format('p2')} as c2, list_distinct(flatten(v1)) as l1, list_distinct(flatten(v2)) as l2, list_distinct(flatten(v3)) as l3, {_CHANGED} as places from p)
+select doc_id, n_chars, sha256(edited) as edited_sha256, sha256(array_to_string({_SECTIONS.format('p1', 'c1')}, '')) as fingerprint,
+  sha256(array_to_string({_SECTIONS.format('p2', 'c2')}, '')) as edited_fingerprint, ({_LIKE.format('l1', 'l2')})::double as near_edited, ({_LIKE.format('l1', 'l3')})::double as near_next,
+  len(list_distinct(list_transform(places, lambda i: p2[i + 1]))) as edited_paragraphs, list_min(places) as first_edited
+from c""",
     "op9_warc": """
 with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
 m as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest) end as last from p)

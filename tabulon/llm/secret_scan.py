@@ -3,21 +3,30 @@
 *Base spans.* Three patterns (assignment, access key, hex run), leftmost and non-overlapping each; matches that are too short
 are dropped. Offsets are code points, ends exclusive; an assignment's span is its whole match.
 
-*Tagger.* A line's tokens are tagged outside, begin or inside. Emission features: the token's shape, length class and
-character mix, the shapes of the two tokens before and the one after, a key word among the three before, and whether the file holds assignments or
-key words at all. Weights are trained here by maximum likelihood (forward-backward, full-batch Adam) on a bounded sample of
-documents, whose tokens within base spans are the positive labels; Viterbi decodes. A plain token (no digit in it, no
-assignment mark or key word among the two tokens before) can only be outside, by definition of the chain: so a line without a
-digit, ``=``, ``:`` or key word is all outside, and the path between plain tokens is found segment by segment, exactly.
-Tagged runs that overlap no base span are added with kind ``crf``; base spans always stay.
-
-Null texts count as empty and have no spans. Texts are scanned whole.
+*Tagger.* A line's tokens are tagged outside, begin or inside. Emission features: the token's shape, length class, mix of
+letters and digits and share of distinct characters; shapes of the two tokens before and the one after, the words before and
+after (hashed), a key word among the three before; and of the file how many assignments it has and whether it holds key words.
+Weights are trained here by maximum likelihood (forward-backward, full-batch Adam); Viterbi decodes. Labels are the base spans
+of a bounded sample of documents. So that the tagger learns what secrets look like and not the patterns over again, each span is
+also shown with its value replaced by random text of another alphabet, with and without its context (key word, assignment,
+neighbours); and words of the same files joined to identifiers, paths and addresses are shown as what is no secret.
+
+A token can only be tagged if it has 8 characters and a digit or a capital after a small letter, or 20 characters, or follows an
+assignment mark or key word by one or two tokens; others are outside by definition of the chain. So the path between them is
+found segment by segment, exactly, and lines without such a token are skipped. Tagged runs that overlap no base span are added
+with kind ``crf``; base spans always stay.
+
+Null texts count as empty and have no spans; texts are scanned whole. Repeated rows get equal results, an empty table none;
+where no sampled text has a base span nothing is tagged. Input columns named like the new ones give way to them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import append_columns, bound_batches, hash_share
+from tabulon.llm.common import append_columns, bound_batches, hash_share, written
 
 # The base patterns and the least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -37,17 +46,25 @@ KINDS = ("assign", "access", "hex")
 
 KEYWORD = re.compile(r"password|passwd|secret|token|api_?key|credential|private|access_?key|auth|bearer|(?:^|_)key$", re.A | re.I)
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]*[A-Za-z0-9+/_]=*|[^\sA-Za-z0-9]|[^\s]", re.A)
-ASKS = re.compile(r"[0-9=:]")
-#: Expected numbers of training documents with and without base spans, and of tokens that one document adds at most.
-WITH_SPANS, WITHOUT_SPANS, TOKENS_EACH = 1500, 1500, 4000
+#: Every line that has a token which can be tagged is found by one of these.
+ASKS = re.compile(r"[0-9=:]|[a-z][A-Z]|(?<!\S)\S{20}")
+CUES = re.compile(r"password|passwd|secret|token|key|credential|private|auth|bearer", re.A | re.I)
+INNER = re.compile(r"[a-z][A-Z]")
+LEAST_OPEN, LONG_OPEN = 8, 20
+#: Documents that are looked at for training, expected numbers of training documents with and without base spans, and of tokens
+#: that one document adds at most.
+LOOKED_AT, WITH_SPANS, WITHOUT_SPANS, TOKENS_EACH = 60_000, 1500, 1500, 2000
 STEPS, RATE, RIDGE = 150, 0.15, 1e-3
 OUT, BEGIN, IN = range(3)
 SHAPES = ("edge", "lower", "title", "upper", "letters", "number", "hex", "upper_digits", "mixed", "dotted", "assign", "quote", "mark", "keyword")
 LENGTHS = (4, 8, 12, 16, 24, 40)
-N_SHAPE, N_LENGTH, N_MIX = len(SHAPES), len(LENGTHS) + 1, 4
-#: Feature offsets: bias, shape, length, both, mix, shapes before (2) and after (1), key word before, file.
-OFFSETS = np.cumsum([0, 1, N_SHAPE, N_LENGTH, N_SHAPE * N_LENGTH, N_MIX, N_SHAPE, N_SHAPE, N_SHAPE, 2, 2])
+N_SHAPE, N_LENGTH, N_MIX, N_VARIED, N_WORD, N_FILE = len(SHAPES), len(LENGTHS) + 1, 4, 5, 64, 8
+#: Feature offsets: bias, shape, length, both, mix, distinct characters with shape, shapes before (2) and after (1), key word
+#: before, word before, word after, file.
+OFFSETS = np.cumsum([0, 1, N_SHAPE, N_LENGTH, N_SHAPE * N_LENGTH, N_MIX, N_SHAPE * N_VARIED, N_SHAPE, N_SHAPE, N_SHAPE, 2, N_WORD, N_WORD, N_FILE])
 N_FEATURES = int(OFFSETS[-1])
+# Alphabets of the values that stand in for those of base spans.
+ALPHABETS = ("0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -89,25 +106,52 @@ def mix(token: str) -> int:
     return min(N_MIX - 1, turns * 8 // max(1, len(kinds)))
 
 
-EDGE, KEYWORD_SHAPE, ASSIGN_SHAPE = SHAPES.index("edge"), SHAPES.index("keyword"), SHAPES.index("assign")
+def varied(token: str) -> int:
+    """How many different characters the token has for its length; random text has many."""
+    n = len(token)
+    return 0 if n < 12 else 1 + min(3, int(8 * len(set(token)) / min(n, 24)) // 2)
 
 
-def features(tokens: list[str], in_file: bool) -> tuple[list[tuple[int, ...]], list[bool]]:
-    """Of each token its active features, and whether it is plain."""
+def word_bucket(token: str) -> int:
+    """0 for what isn't a plain word."""
+    return 1 + zlib.crc32(token.lower().encode()) % (N_WORD - 1) if token.isalpha() else 0
+
+
+EDGE, KEYWORD_SHAPE, ASSIGN_SHAPE, LOWER_SHAPE = (SHAPES.index(x) for x in ("edge", "keyword", "assign", "lower"))
+
+
+def can_be_tagged(token: str) -> bool:
+    """By itself; a token that follows a key word or an assignment mark can be in any case."""
+    n = len(token)
+    return n >= LONG_OPEN or n >= LEAST_OPEN and (any(c.isdigit() for c in token) or INNER.search(token) is not None)
+
+
+def features(tokens: list[str], file: int) -> tuple[list[tuple[int, ...] | None], list[bool]]:
+    """Of each token its active features (None for a plain one), and whether it is plain."""
     shapes = [shape(t) for t in tokens]
     around = [EDGE, EDGE, EDGE, *shapes, EDGE]
     rows, plain = [], []
     for k, token in enumerate(tokens):
         before3, before2, before, own, after = around[k : k + 5]
         cued = KEYWORD_SHAPE in (before, before2) or ASSIGN_SHAPE in (before, before2)
-        plain.append(not cued and not any(c.isdigit() for c in token))
+        plain.append(not cued and not can_be_tagged(token))
+        if plain[-1]:
+            rows.append(None)
+            continue
         length = sum(len(token) >= x for x in LENGTHS)
         named = KEYWORD_SHAPE in (before, before2, before3)
-        parts = (0, own, length, own * N_LENGTH + length, mix(token), before, before2, after, int(named), int(in_file))
+        ahead, behind = word_bucket(tokens[k - 1]) if k else 0, word_bucket(tokens[k + 1]) if k + 1 < len(tokens) else 0
+        parts = (0, own, length, own * N_LENGTH + length, mix(token), own * N_VARIED + varied(token), before, before2, after, int(named), ahead, behind, file)
         rows.append(tuple(int(o) + p for o, p in zip(OFFSETS, parts, strict=False)))
     return rows, plain
 
 
+def file_bucket(text: str) -> int:
+    """Assignments of the file (none, one, some, many) and whether it holds a key word."""
+    n = text.count("=")
+    return (0 if not n else 1 if n == 1 else 2 if n < 8 else 3) * 2 + (KEYWORD.search(text) is not None)
+
+
 @dataclass
 class Model:
     emission: np.ndarray  #: feature, label
@@ -136,13 +180,14 @@ def untrained() -> Model:
 
 
 def segments(text: str):
-    """Runs of tokens that aren't plain, line by line: (features, spans)."""
-    in_file = "=" in text and KEYWORD.search(text) is not None
-    at = 0
+    """Runs of tokens that can be tagged, line by line: (features, spans)."""
+    if not (ASKS.search(text) or CUES.search(text)):
+        return
+    file, at = file_bucket(text), 0
     for line in text.split("\n"):
-        if ASKS.search(line) or KEYWORD.search(line):
+        if ASKS.search(line) or CUES.search(line):
             found = [(m.start() + at, m.end() + at) for m in TOKEN.finditer(line)]
-            rows, plain = features([text[a:b] for a, b in found], in_file)
+            rows, plain = features([text[a:b] for a, b in found], file)
             start = None
             for k in range(len(found) + 1):
                 if k < len(found) and not plain[k]:
@@ -153,6 +198,37 @@ def segments(text: str):
         at += len(line) + 1
 
 
+def variants(text: str, base: list[tuple[int, int, int]], rng: random.Random):
+    """(line, spans of secrets in it) made from a text's base spans and words, for training: values of other alphabets within
+    their context and among plain words; and joined words that are no secrets."""
+    words = [w for w in re.findall(r"[A-Za-z]{2,12}", text[:4000])] or ["word"]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    for start, _, end in base[:8]:
+        low = text.rfind("\n", 0, start) + 1
+        high = text.find("\n", end)
+        low, high = max(low, start - 200), min(len(text) if high < 0 else high, end + 200)
+        value = max(re.finditer(r"[A-Za-z0-9+/_.-]+", text[start:end]), key=lambda m: len(m[0]))
+        a, b = start + value.start(), start + value.end()
+        for alphabet in ALPHABETS:
+            made = "".join(rng.choice(alphabet) for _ in range(rng.choice((16, 20, 24, 32, 36, 40, 48))))
+            yield text[low:a] + made + text[b:high], [(a - low, 0, a - low + len(made))]
+            before, behind = " ".join(some(rng.randrange(4))), " ".join(some(rng.randrange(4)))
+            line = f"{before} {made} {behind}"
+            yield line, [(len(before) + 1, 0, len(before) + 1 + len(made))]
+            key = rng.choice(("password is", "the secret", "auth", "private key", "credential", "bearer"))
+            yield f"{before} {key} {made} {behind}", [(len(before) + len(key) + 2, 0, len(before) + len(key) + 2 + len(made))]
+    titles = "".join(w.title() for w in some(rng.randrange(2, 5)))
+    number = lambda n: str(rng.randrange(10**n))
+    none = (
+        titles, titles[:1].lower() + titles[1:], "_".join(some(3)).lower(), "-".join(some(4)).lower(), "/".join(some(4)).lower(), ".".join(some(3)).lower(), "".join(some(4)).lower(),
+        f"{'_'.join(some(2))}_{number(3)}", f"{'/'.join(some(3))}/{number(6)}.html", f"{rng.choice(words)}{number(3)}.{rng.choice(words)}.com", f"v{number(1)}.{number(2)}.{number(2)}",
+        number(10), f"{number(3)}-{number(4)}-{number(4)}", f"20{number(2)}-1{rng.randrange(3)}-0{rng.randrange(1, 10)}T0{rng.randrange(10)}:30:00", f"{number(2)}.{number(3)}.{number(3)}.{number(1)}", f"{number(3)},{number(3)},{number(3)}",
+    )
+    for x in none:
+        yield " ".join([*some(rng.randrange(4)), x, *some(rng.randrange(4))]), []
+        yield f"{rng.choice(words)} = {x}", []
+
+
 def labels_of(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[int]:
     """Begin and inside for tokens that end within a base span and hold at least 8 characters of it."""
     out, last = [], None
@@ -178,8 +254,8 @@ def extra_spans(text: str, base: list[tuple[int, int, int]], model: Model) -> li
     return [(a, b) for a, b in out if not any(a < e and b > s for s, _, e in base)]
 
 
-def train(chains: list[tuple[list[tuple[int, ...]], list[int]]]) -> Model:
-    """Maximum likelihood by forward-backward over padded chains, all at once."""
+def train(chains: list[tuple[list[tuple[int, ...]], list[int]]], weights_of: list[int] | None = None) -> Model:
+    """Maximum likelihood by forward-backward over padded chains, all at once; a chain counts as the root of its weight."""
     model = untrained()
     if not any(label for _, y in chains for label in y):
         return model
@@ -189,6 +265,7 @@ def train(chains: list[tuple[list[tuple[int, ...]], list[int]]]) -> Model:
     for k, (rows, labels) in enumerate(chains):
         x[k, : len(rows)], y[k, : len(rows)], real[k, : len(rows)] = rows, labels, True
     lengths = real.sum(axis=1)
+    times = np.ones(n) if weights_of is None else np.sqrt(np.array(weights_of, float))
     allowed = model.transition > -1e3
     weights = [np.zeros((N_FEATURES, 3)), np.zeros((3, 3))]
     moments = [[np.zeros_like(w), np.zeros_like(w)] for w in weights]
@@ -210,58 +287,76 @@ def train(chains: list[tuple[list[tuple[int, ...]], list[int]]]) -> Model:
         wish = np.zeros((n, longest, 3))
         marginal = np.exp(np.clip(forward + backward - z[None, :, None], -60, 0)).transpose(1, 0, 2)
         np.put_along_axis(wish, y[:, :, None], 1.0, axis=2)
+        wish, marginal = wish * times[:, None, None], marginal * times[:, None, None]
         gap = np.repeat((wish - marginal)[real], width, axis=0)
         g_emission = np.stack([np.bincount(flat, weights=gap[:, c], minlength=N_FEATURES) for c in range(3)], axis=1)
         g_transition = np.zeros((3, 3))
         for t in range(1, longest):
             on = real[:, t]
             pair = forward[t - 1][on][:, :, None] + transition + (score[on, t] + backward[t][on])[:, None, :] - z[on][:, None, None]
-            g_transition -= np.exp(np.clip(pair, -60, 0)).sum(axis=0)
-            np.add.at(g_transition, (y[on, t - 1], y[on, t]), 1.0)
+            g_transition -= (np.exp(np.clip(pair, -60, 0)) * times[on][:, None, None]).sum(axis=0)
+            np.add.at(g_transition, (y[on, t - 1], y[on, t]), times[on])
         last = np.arange(n), lengths - 1
-        np.add.at(g_transition, (np.zeros(n, int), y[:, 0]), 1.0)
+        np.add.at(g_transition, (np.zeros(n, int), y[:, 0]), times)
         g_transition[OUT] -= marginal[:, 0].sum(axis=0)
-        np.add.at(g_transition, (y[last], np.zeros(n, int)), 1.0)
+        np.add.at(g_transition, (y[last], np.zeros(n, int)), times)
         g_transition[:, OUT] -= marginal[last].sum(axis=0)
         for w, g, m in zip(weights, (g_emission, g_transition), moments, strict=True):
-            g = g / n - RIDGE * w
+            g = g / times.sum() - RIDGE * w
             m[0], m[1] = 0.9 * m[0] + 0.1 * g, 0.999 * m[1] + 0.001 * g * g
             w += RATE * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8)
     return Model(weights[0], np.where(allowed, weights[1], -1e4))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_spans: int = WITH_SPANS, without_spans: int = WITHOUT_SPANS) -> Model:
-    """Trains on about ``with_spans`` documents with base spans and ``without_spans`` others that have tokens to tag, taken by
-    a hash of the id; a document gives chains of up to ``TOKENS_EACH`` tokens. Only their features and labels reach the driver."""
+def chains_of(text: str, base: list[tuple[int, int, int]]):
+    """(features, labels) of each segment, cut where it grows long and the token is outside."""
+    for rows, spans in segments(text):
+        labels, start = labels_of(spans, base), 0
+        for k in range(1, len(rows) + 1):
+            if k == len(rows) or k - start >= 32 and labels[k] == OUT:
+                yield rows[start:k], labels[start:k]
+                start = k
+
+
+def fit(docs: DataFrame, text_col: str = "text", with_spans: int = WITH_SPANS, without_spans: int = WITHOUT_SPANS, looked_at: int = LOOKED_AT) -> Model:
+    """Trains on about ``with_spans`` distinct texts with base spans and ``without_spans`` others that have tokens to tag, out of
+    about ``looked_at`` texts taken by a hash, so that the corpus isn't searched twice; a text gives chains of up to
+    ``TOKENS_EACH`` tokens and as many made from it. Only their features and labels reach the driver."""
     bound_batches(docs.sparkSession)
     text = F.col(f"`{text_col}`")
-    has = text.rlike(r"AKIA[A-Z0-9]{14}|[0-9a-f]{16}|(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]")
-    asks = text.rlike("[0-9=:]")
-    n_has, n_asks = docs.agg(F.count(F.when(has, 1)), F.count(F.when(asks & ~has, 1))).first()
+    n = docs.count()
+    some = docs.where(text.isNotNull() & (hash_share("secrets", text_col) < looked_at / max(1, n) * (1 << 20))).select(text.alias("text"))
+    has = F.col("text").rlike(r"AKIA[A-Z0-9]{14}|[0-9a-f]{16}|(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]")
+    asks = F.col("text").rlike("[0-9=:]")
+    some = written(some.where(asks | has).withColumn("has", has).distinct(), "secret-sample")
+    n_has, n_asks = some.agg(F.count(F.when(F.col("has"), 1)), F.count(F.when(~F.col("has"), 1))).first()
     if not n_has:
         return untrained()
-    share = F.when(has, with_spans / n_has).otherwise(without_spans / max(1, n_asks)) * (1 << 20)
-    taken = docs.where(asks | has).where(hash_share("secrets", id_col) < share).select(F.col(id_col).alias("id"), text.alias("text"))
+    share = F.when(F.col("has"), with_spans / n_has).otherwise(without_spans / max(1, n_asks)) * (1 << 20)
+    taken = some.where(hash_share("chains", "text") < share).select(F.xxhash64("text").alias("id"), "text")
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("at", T.LongType()), T.StructField("x", T.ArrayType(T.IntegerType())), T.StructField("y", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         for batch in batches:
             out = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                base, n = base_spans(t), 0
-                for rows, spans in segments(t):
-                    # a chain is cut where it grows long; the cut ends are outside
-                    for k in range(0, len(rows), 32):
-                        if n < TOKENS_EACH:
-                            out.append((i, spans[k][0], [f for r in rows[k : k + 32] for f in r], labels_of(spans[k : k + 32], base)))
-                            n += len(out[-1][3])
+                base, count, rng = base_spans(t), 0, random.Random(i)
+                for rows, labels in chains_of(t, base):
+                    if count < TOKENS_EACH:
+                        out.append((i, len(out), [f for r in rows for f in r], labels))
+                        count += len(labels)
+                for line, spans in variants(t, base, rng):
+                    for rows, labels in chains_of(line, spans):
+                        out.append((i, len(out), [f for r in rows for f in r], labels))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], names=["id", "at", "x", "y"])
 
     got = taken.mapInArrow(run, schema).toArrow().to_pylist()
-    got.sort(key=lambda r: (r["id"] is None, r["id"] or 0, r["at"]))
+    got.sort(key=lambda r: (r["id"], r["at"]))
+    # equal chains are one, weighted by the root of their number
+    counts = Counter((tuple(r["x"]), tuple(r["y"])) for r in got)
     width = len(OFFSETS) - 1
-    return train([(np.array(r["x"]).reshape(-1, width).tolist(), r["y"]) for r in got])
+    return train([(np.array(x).reshape(-1, width).tolist(), list(y)) for x, y in counts], list(counts.values()))
 
 
 def scan(text: str | None, model: Model) -> list[tuple[int, str, int]]:

@@ -5,9 +5,9 @@ signature is cut into ``BANDS`` bands of ``ROWS`` values and an equal band makes
 meets with chance (1 - s ** ROWS) ** BANDS, at s = ``LEAST`` 1.2 in a million and less above. Rows are named by (null id last,
 id, hash of the text).
 
-Each round compares the rows of a band with the least of them; those that are similar go, and the least has met all others of
-its band and leaves the band. After ``ROUNDS`` rounds what is left of the bands is compared pair by pair. So no two rows that
-stay meet and are similar, and a row that goes is linked over similar rows to a smaller one that stays.
+Each round compares the rows of a band with its least row (with its ``PIVOTS`` least after ``ROUNDS`` rounds); those that are
+similar go, and the least have met all others of their band and leave it. Rounds end when no band has two rows. So no two rows
+that stay meet and are similar, and a row that goes is linked over similar rows to a smaller one that stays.
 
 Null, empty and blank texts are similar to nothing.
 """
@@ -19,7 +19,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +28,7 @@ from tabulon.llm.common import append_columns, bound_batches, written
 SHINGLE = 5
 LEAST = 0.8
 BANDS, ROWS = 45, 6
-ROUNDS = 3
+ROUNDS, PIVOTS = 3, 64
 _RNG = np.random.default_rng(5)
 FLIP, TIMES, MIX = (_RNG.integers(0, 1 << 64, n, dtype=np.uint64) | np.uint64(1) for n in (BANDS * ROWS, BANDS * ROWS, BANDS * ROWS))
 
@@ -93,23 +93,22 @@ def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     bands = written(bands.join(shared, "key").select("key", "row"), "bands")
     held = written(texts.join(bands.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"]), "similar-texts")
-    gone, met = [], []
-    for n in range(ROUNDS + 1):
-        if bands.isEmpty():
-            break
-        least = written(bands.groupBy("key").agg(F.min("row").alias("other"), F.count("*").alias("n")).where("n > 1").select("key", "other"), "least")
-        if n < ROUNDS:
-            pairs = bands.join(least, "key").where("row != other").select("row", "other")
-        else:
-            pairs = bands.join(bands.select("key", F.col("row").alias("other")), "key").where("row > other").select("row", "other")
-        pairs = pairs.distinct()
+    gone, met, n = [], [], 0
+    while not bands.isEmpty():
+        least = bands.groupBy("key").agg(F.min("row").alias("other"), F.count("*").alias("n")).where("n > 1").select("key", "other")
+        if n >= ROUNDS:
+            place = F.row_number().over(Window.partitionBy("key").orderBy("row"))
+            least = bands.withColumn("place", place).where(F.col("place") <= PIVOTS).select("key", F.col("row").alias("other")).join(least.select("key"), "key", "left_semi")
+        least = written(least, "least")
+        pairs = bands.join(least, "key").where("row > other").select("row", "other").distinct()
         for before in met:
             pairs = pairs.join(before, ["row", "other"], "left_anti")
         met.append(written(pairs, "met"))
         gone.append(written(_similar(met[-1], held), "similar"))
-        bands = bands.join(least, "key").where("row != other").select("key", "row").join(gone[-1].select("row").distinct(), "row", "left_anti")
-        bands = written(bands.select("key", "row"), "bands")
+        bands = bands.join(least.select("key").distinct(), "key", "left_semi").join(least.withColumnRenamed("other", "row"), ["key", "row"], "left_anti")
+        bands = written(bands.join(gone[-1].select("row").distinct(), "row", "left_anti").select("key", "row"), "bands")
+        n += 1
     name = row_of(id_col, text_col)
     for found in gone:
-        docs = docs.withColumn("_row", name).join(found.select(F.col("row").alias("_row")).distinct(), "_row", "left_anti").drop("_row")
+        docs = docs.withColumn("_similar_row", name).join(found.select(F.col("row").alias("_similar_row")).distinct(), "_similar_row", "left_anti").drop("_similar_row")
     return docs

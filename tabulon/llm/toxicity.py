@@ -7,12 +7,15 @@ by a signed log-likelihood ratio; what gets little weight in one training is lef
 add up over a long document. A sentence without a vocabulary word adds nothing; documents without
 any, empty and null ones among them, keep the prior score of a bare document.
 
-Very long documents have many sentences; each adds its own chance, and all are scored.
+Very long documents have many sentences; each adds its own chance, and all are scored, in time linear in the text. Repeated rows
+get equal results, an empty table none; of an id with several texts one is learned from. Input columns named like the new ones
+give way to them.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
 
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import append_columns, bound_batches, hash_share, split_of
+from tabulon.llm.common import append_columns, bound_batches, hash_share, split_of, written
 
 #: Expected number of labelled documents to learn from, and the most words of the vocabulary.
 LABELLED = 16_000
@@ -37,6 +40,7 @@ KEPT = (0.5, 1.5, 2.5)
 #: Logit of a sentence before its signs: fixed, so that the signs carry all the evidence.
 BIAS = -4.0
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]?")
+STOP = re.compile(r"[.!?\n]")
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -60,12 +64,14 @@ class Model:
         if len(low) != len(text):  # a few capitals grow when lower-cased; offsets are those of the text
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         hits = {w: own for w in set(WORD.findall(low)) if (own := [x for x in signs(w) if x in self.weights])}
-        out = []
+        if not hits:
+            return []
+        stops, out = [0, *(m.end() for m in STOP.finditer(low))], []
         for at in sorted({m.start() for w in hits for m in re.finditer(rf"(?<![^\W_]){re.escape(w)}(?![^\W_])", low)}):
             if out and at < out[-1][2]:
                 continue
-            start = max(low.rfind(c, 0, at) for c in ".!?\n") + 1
-            end = SENTENCE.match(low, start).end()
+            k = bisect_right(stops, at)
+            start, end = stops[k - 1], stops[k] if k < len(stops) else len(low)
             held = {x for w in WORD.findall(low[start:end]) for x in hits.get(w, ())}
             out.append((self.bias + sum(map(self.weights.__getitem__, sorted(held))), start, end))
         return out
@@ -101,6 +107,8 @@ def fit(
     total = known.count()
     taken = known.where(hash_share("toxic", id_col) < min(1.0, labelled / max(1, total)) * (1 << 20)).groupBy(id_col).agg(F.max("y").alias("y"))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(taken), id_col)
+    # an id may be repeated without bound; written, as it is read twice
+    rows = written(rows.groupBy(id_col).agg(F.min("text").alias("text"), F.first("y").alias("y")), "labelled")
 
     def words(batches):
         for batch in batches:
@@ -113,7 +121,7 @@ def fit(
     counts = rows.select("text", "y").mapInArrow(words, "word string, y int, n long").groupBy("word")
     number = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
     counts = counts.agg(number(F.col("y") == 1).alias("toxic"), number(F.col("y") != 1).alias("clean"))
-    counts = counts.where((F.col("word") == "") | (F.col("toxic") + F.col("clean") >= LEAST_DOCS))
+    counts = written(counts.where((F.col("word") == "") | (F.col("toxic") + F.col("clean") >= LEAST_DOCS)), "words")
     bags = counts.where("word = ''").first()
     pos, neg = (bags["toxic"], bags["clean"]) if bags else (0, 0)
     prior = float(np.log((pos + 0.5) / (neg + 0.5))) if pos + neg else -2.0

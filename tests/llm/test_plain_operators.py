@@ -1,6 +1,7 @@
 """Sharding, BPE, Merkle fingerprints, WARC conversion and the shared plumbing."""
 
 import glob
+import gzip
 import hashlib
 import os
 import random
@@ -39,14 +40,22 @@ def test_clashing_and_extra_columns(spark):
     assert append_columns(df.where("false"), ["text"], lambda: lambda t: (t,), [("y", T.StringType())]).count() == 0
 
 
-@pytest.mark.parametrize(("heavy", "parcels"), [(sharding.HEAVY, sharding.PARCELS), (2, 64)])
-def test_sharding(spark, monkeypatch, heavy, parcels):
+def plain_longest_first(loads, shards):
+    totals = [0] * shards
+    for load in sorted(loads, reverse=True):
+        totals[totals.index(min(totals))] += load
+    return sorted(totals)
+
+
+@pytest.mark.parametrize(("heavy", "exact"), [(sharding.HEAVY, sharding.EXACT), (2, 40), (0, 40), (0, 4)])
+def test_sharding(spark, monkeypatch, heavy, exact):
+    """All groups one by one, some by class, all by class; classes of one load each give exactly what plain scheduling gives."""
     monkeypatch.setattr(sharding, "HEAVY", heavy)
-    monkeypatch.setattr(sharding, "PARCELS", parcels)
+    monkeypatch.setattr(sharding, "EXACT", exact)
     monkeypatch.setattr(sharding, "BUCKET_ROWS", 50)
     rng = random.Random(3)
     texts = [*ODD[:6], *("w" * rng.randrange(400) for _ in range(300)), *["same text"] * 80, None]
-    rows = by_id(sharding.assign(documents(spark, texts), 7), "doc_id", "size", "text_crc32", "shard", "slot")
+    rows = by_id(sharding.assign(documents(spark, texts).withColumn("shard", F.lit("x")), 7), "doc_id", "size", "text_crc32", "shard", "slot")
     assert [r[1] for r in rows] == [len((t or "").encode()) + 8 for t in texts]
     assert [r[2] for r in rows] == [None if t is None else zlib.crc32(t.encode()) for t in texts]
     loads, slots, homes = [0] * 7, [set() for _ in range(7)], {}
@@ -58,15 +67,20 @@ def test_sharding(spark, monkeypatch, heavy, parcels):
     groups = {}
     for t in texts:
         groups[t] = groups.get(t, 0) + len((t or "").encode()) + 8
-    if heavy == sharding.HEAVY:  # all groups are scheduled one by one: plain longest-processing-time
-        name = lambda t: "null" if t is None else hashlib.sha256(t.encode()).hexdigest()[:32]
-        want = sharding.schedule([(n, name(t)) for t, n in groups.items() if n * 7 * heavy >= sum(groups.values())], 7)
-        assert all(homes[t] == want[name(t)] for t in groups if name(t) in want)
-    assert max(loads) - min(loads) <= max(groups.values()) and max(loads) < 1.3 * sum(loads) / 7
+    plain = plain_longest_first(groups.values(), 7)
+    if exact == 40 or heavy == 1024:
+        assert sorted(loads) == plain
+    assert max(loads) <= plain[-1] * 1.05
 
 
 def test_schedule_is_longest_first():
-    assert sharding.schedule([(1, "d"), (5, "a"), (4, "b"), (3, "c")], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
+    assert sharding.schedule([(1, "d"), (5, "a"), (4, "b"), (3, "c")], {}, 2)[0] == {"a": 0, "b": 1, "c": 1, "d": 0}
+    rng = random.Random(8)
+    for _ in range(30):
+        loads = [rng.randrange(1, 40) for _ in range(rng.randrange(1, 300))]
+        classes = {x: (loads.count(x), x * loads.count(x)) for x in set(loads)}
+        taken = sharding.schedule([], classes, 5)[1]
+        assert sorted(sum(x * n[s] for x, n in taken.items()) for s in range(5)) == plain_longest_first(loads, 5)
 
 
 def test_sharding_of_nothing(spark):
@@ -118,13 +132,21 @@ def test_merkle_next_of_odd_ids(spark, ids):
         assert i == 5 or after[0] == 5 or got[i, t] == after[1]
 
 
-def test_merkle_locates_edits(spark):
-    lines = [f"line {k}" for k in range(100)]
+def test_merkle_locates_edits(spark, monkeypatch):
+    lines = [f"line {k} of one text" for k in range(300)]
     other = [*lines]
     other[40], other[77] = "changed", ""
-    df = spark.createDataFrame([("\n".join(lines), "\n".join(other))], "a string, b string")
-    assert df.select(merkle.changed(F.col("a"), F.col("b"))).first()[0] == [40, 77]
-    assert df.select(merkle.changed(F.col("a"), F.col("a"))).first()[0] == []
+    moved = ["inserted before all", *lines]
+    word = " ".join(f"w{k}{'abcdefghnst'[k % 11]}" for k in range(400))
+    for pruned in (merkle.PRUNED, 0):
+        monkeypatch.setattr(merkle, "PRUNED", pruned)
+        df = spark.createDataFrame([("\n".join(lines), "\n".join(other)), ("\n".join(lines),) * 2, ("\n".join(lines), "\n".join(moved)), (word, word.replace("w200", "more words w200"))], "a string, b string")
+        df = merkle.tree(merkle.tree(df, "a", "a"), "b", "b").withColumn("places", merkle.entered("b", "a"))
+        got = df.select("places", "b_par", merkle.lacked_paragraphs("b", "a", F.col("places")).alias("lacked"), merkle.likeness("b", "a", F.col("places")).alias("like")).collect()
+        assert [[r["b_par"].index(x) for x in r["lacked"]] for r in got] == [[40, 77], [], [0], [0]]
+        assert got[1]["like"] == 1 and all(0.95 < got[k]["like"] < 1 for k in (0, 2, 3))
+        # only sections around the edits are entered
+        assert pruned == 0 or len(got[0]["places"]) < 200 and len(got[2]["places"]) < 150 and not got[1]["places"]
 
 
 @pytest.mark.parametrize("name", queries.SQL)
@@ -156,28 +178,41 @@ def test_warc(spark, monkeypatch):
         other = last if len(raw) >= 1000 and last != k else None
         assert (got[k]["payload_bytes"], got[k]["payload_digest"], got[k]["record_type"], got[k]["refers_to"]) == (len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if other is not None else "response", other)
     assert warc.round_trip(pages(spark, [])).count() == 0
-    assert warc.round_trip(pages(spark, [(1, "u", same)] * 3 + [(1, "v", "other")])).count() == 4
+    twice = warc.round_trip(pages(spark, [(1, "u", same)] * 3 + [(1, "v", "other"), (0, "u", same), (None, "n", same), (None, "n", "a")]).withColumn("digest", F.lit(1))).collect()
+    assert len(twice) == len({r["record_id"] for r in twice}) == 7
+    assert sorted(r["record_type"] for r in twice) == ["response"] * 5 + ["revisit"] * 2 and {r["refers_to"] for r in twice} == {None, 1}
 
 
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc(version):
-    body = b"<html>\nx y\n</html>"
-    head, got = warc.parse_arc(warc.arc_record(version, "http://a b/c", body), version)
+    """Files of several records, plain and by gzip members; bodies with and without an HTTP head; wrong lengths, dates, versions."""
+    body, answer = b"<html>\nx y\n</html>", b"HTTP/1.0 404 Gone\r\nServer: s\r\n\r\nlost\r\n\r\nhere"
+    one = warc.arc_file(version, "http://a b/c", body)
+    two = warc.arc_file(version, "http://d", answer, date="19990102030405").split(b"\n", 4)[-1].lstrip(b"\n") if version == 1 else None
+    (head, got), = warc.arc_records(one)
     assert got == body and head["url"] == "http://a b/c" and head["date"] == warc.ARC_DATE and (version == 1) == ("checksum" not in head)
-    for bad in (b"http://x 1.2.3.4\n", warc.arc_record(version, "u", body)[:-5], warc.arc_record(version, "u", body, date="2024")):
+    if two:
+        two = two[two.index(b"http://d") :]
+        for raw in (one + two, one + b"\n" + two, gzip.compress(one) + gzip.compress(two)):
+            assert [(h["url"], b) for h, b in warc.arc_records(raw)] == [("http://a b/c", body), ("http://d", answer)]
+    for block, payload, http in ((answer, b"lost\r\n\r\nhere", b"HTTP/1.0 404 Gone"), (body, body, b"HTTP/1.1 200 OK")):
+        (head, got), = warc.arc_records(warc.arc_file(version, "http://d", block, date="19990102030405"))
+        (fields, out), = warc.records(warc.convert(head, got, "7", None))
+        assert out.startswith(http) and out.count(b"HTTP/") == 1 and warc.payload_of(fields, out) == (len(payload), hashlib.sha1(payload).hexdigest())
+        assert fields["warc-date"] == "1999-01-02T03:04:05Z" and fields["warc-type"] == "response"
+    for bad in (b"http://x 1.2.3.4\n", one[:-5], warc.arc_file(version, "u", body, date="2024"), warc.arc_file(version, "u", body).replace(b"%d 0" % version, b"7 0")):
         with pytest.raises(ValueError):
-            warc.parse_arc(bad, version)
+            list(warc.arc_records(bad))
 
 
 def test_warc_members():
     """Gzip members one after another, plain archives, and archives that are cut."""
-    import gzip
-
-    one, two = (warc.convert(warc.arc_record(1, "u", b"body%d" % k), 1, str(k), None) for k in range(2))
-    for raw in (one + two, gzip.compress(one) + gzip.compress(two), gzip.compress(one + two)):
+    one, two = (warc.convert(*next(warc.arc_records(warc.arc_file(1, "u", b"body%d" % k))), str(k), None) for k in range(2))
+    for raw in (one + two, gzip.compress(one) + gzip.compress(two), gzip.compress(one + two), warc.member(one) + warc.member(two)):
         assert [f["x-source-key"] for f, _ in warc.records(raw)] == ["0", "1"]
     with pytest.raises(ValueError):
         list(warc.records((one + two)[:-10]))
+    assert warc.member(b"x" * ((1 << 24) + 5)).endswith(b"\0") and gzip.decompress(warc.member(b"x" * ((1 << 24) + 5))) == b"x" * ((1 << 24) + 5)
 
 
 def test_llm_is_apart():

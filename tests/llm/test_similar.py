@@ -1,9 +1,10 @@
-"""Similar texts against all pairs, and that none stay in the pipeline."""
+"""Similar texts against all pairs."""
 
 import itertools
 import random
 
-import corpus_pipeline
+import pytest
+
 from tabulon.llm import similar
 
 
@@ -12,7 +13,8 @@ def plain_similar(a, b):
     return len(x & y) / len(x | y) >= 0.8
 
 
-def test_similar_texts(spark):
+@pytest.mark.parametrize("rounds", [0, similar.ROUNDS])
+def test_similar_texts(spark, monkeypatch, rounds):
     """A text changed at places apart, in groups and chains; texts that share a half; odd rows."""
     rng = random.Random(7)
     texts = []
@@ -26,8 +28,8 @@ def test_similar_texts(spark):
     texts += [common + " " + " ".join(f"u{k}x{j}" for j in range(60)) for k in range(20)]
     rows = [*enumerate(texts), (900, None), (901, ""), (None, texts[0] + " end"), (None, "a text of its own without any id")]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    stage = dict(corpus_pipeline.STAGES)["similar_texts"]
-    kept = [(r["doc_id"], r["text"]) for r in stage(spark, docs, None).collect()]
+    monkeypatch.setattr(similar, "ROUNDS", rounds)
+    kept = [(r["doc_id"], r["text"]) for r in similar.without_similar(docs).collect()]
     part = {i: i for i in range(len(texts))}
     for i, j in itertools.combinations(range(len(texts)), 2):
         if plain_similar(texts[i], texts[j]) and part[i] != part[j]:
@@ -37,5 +39,5 @@ def test_similar_texts(spark):
     assert not any(plain_similar(texts[i], texts[j]) for i, j in itertools.combinations(sorted(ids), 2))
     assert {part[i] for i in ids} == set(part.values()) and set(part.values()) <= ids and len(ids) < len(texts)
     assert {(900, None), (901, ""), (None, rows[-1][1])} <= set(kept) and (None, texts[0] + " end") not in kept
-    assert stage(spark, docs.limit(0), None).count() == 0
+    assert similar.without_similar(docs.limit(0)).count() == 0
     assert len(similar.band_keys("x " * 20000)) == similar.BANDS
