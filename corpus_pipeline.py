@@ -1,9 +1,11 @@
-"""The corpus pipeline: six stages from raw documents to token ids, each over all that the stage before kept.
+"""The corpus pipeline: five stages from raw documents to token ids, each over all that the stage before kept.
 
-Rows are documents (doc_id, text, lang, source, n_chars). Language identification rejects texts in no known language;
-near-duplicate groups keep the document with the smallest id, and so do groups of similar texts (0.8 of their 5-word
-shingles); documents that leak a benchmark item go; secrets are replaced by
-a mark (``n_chars`` follows the text); what is left is encoded, and decoded again as a test of each row.
+Rows are documents (doc_id, text, lang, source, n_chars) and whatever other columns the table has. Language identification
+rejects texts in no known language; of near-duplicates one document stays; documents that leak a benchmark item go; secrets are
+replaced by a mark (``n_chars`` follows the text); what is left is encoded, and decoded again as a test of each row.
+
+A row is named by its id (null counts as a value) and its text: rows of one id with different texts are different documents,
+and rows that agree in both are one, of which near-duplicate removal keeps one.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from tabulon.llm import bpe, decontaminate, langid, secret_scan, similar, simhas
 from tabulon.llm.common import table, written
 from tabulon.llm.queries import VOCABULARY
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A column of the stages' own, whose name no table has.
+ROW = "_pipeline_row"
 #: A text that the best language model codes no shorter than as plain bytes is in no known language.
 BITS_PER_BYTE = 8.0
 
@@ -23,31 +26,30 @@ BITS_PER_BYTE = 8.0
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts with a letter that a language model codes in under 8 bits a byte."""
     model = langid.fit(docs, ~langid.held_out_split())
-    found = langid.predict(docs.select(COLUMNS), model)
-    return found.where((F.col("lang_pred") != langid.UND) & (F.col("bits_per_byte") < BITS_PER_BYTE)).select(COLUMNS)
+    found = langid.predict(docs.withColumn(ROW, F.struct(*docs.columns)), model, keep=[ROW, "text"])
+    kept = found.where((F.col("lang_pred") != langid.UND) & (F.col("bits_per_byte") < BITS_PER_BYTE))
+    return kept.select(f"{ROW}.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; of repeated rows one. The join and the last step share a partitioning."""
-    groups = simhash.cluster(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
-
-
-def similar_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose sets of 5-word shingles have Jaccard similarity 0.8 with a smaller id's, which may be many bits apart."""
-    return similar.without_similar(docs.select(COLUMNS)).select(COLUMNS)
+    """Of each SimHash component (5-word shingles, 3 bits) the row with the smallest id stays (null ids last). Texts whose sets of
+    5-word shingles are 0.8 similar may differ in many more bits, so what stays is searched for those too, verified exactly."""
+    named = docs.withColumn(ROW, similar.row_of("doc_id", "text"))
+    groups = simhash.cluster(named, shingle=similar.SHINGLE, keep=[ROW])
+    first = groups.groupBy("component_bits").agg(F.min(ROW).alias(ROW)).select(ROW)
+    kept = written(named.join(first, ROW, "left_semi").dropDuplicates([ROW]).drop(ROW), "pipeline-simhash")
+    return similar.without_similar(kept)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that leak an item of the benchmark table."""
-    return decontaminate.without_leaks(docs.select(COLUMNS), table(spark, sf_dir, "benchmark")).select(COLUMNS)
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret by a mark; no document is dropped."""
-    clean = secret_scan.redact(docs.select(COLUMNS), secret_scan.fit(docs))
-    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
+    clean = secret_scan.redact(docs, secret_scan.fit(docs))
+    return clean.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +60,6 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language", language),
     ("near_duplicates", near_duplicates),
-    ("similar_texts", similar_texts),
     ("decontamination", decontamination),
     ("secrets", secrets),
     ("encoding", encoding),
