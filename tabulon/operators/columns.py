@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass
 from enum import Enum
 from typing import TYPE_CHECKING
 
@@ -11,183 +11,15 @@ from pyspark.sql import functions as F
 
 from tabulon import spec as S
 from tabulon.errors import InvalidArgument, NoColumn, NoProposal
-from tabulon.functions.classify import type_of
-from tabulon.functions.text import cap_text
+from tabulon.operators.evidence import Confidence, Conflict, Evidence, State
 from tabulon.sources import delimited
-from tabulon.spec import TEXT, UNKNOWN, ColumnType, Kind, Zone
+from tabulon.spec import UNKNOWN, ColumnType, Kind, Zone
 
 if TYPE_CHECKING:
     from tabulon.table import Table
 
 HEAD_ROWS = 256
 HEAD_BYTES = 4 << 20
-AGREEING = 8
-UNBOUNDED = (1 << 64) - 2
-
-
-class State(Enum):
-    IDLE = "idle"
-    PROVISIONAL = "provisional"
-    PUBLISHED = "published"
-
-
-class Confidence(Enum):
-    NONE = "none"
-    LOW = "low"
-    BOUNDED = "bounded"
-    EXHAUSTIVE = "exhaustive"
-
-
-class Conflict(Enum):
-    NONE = "none"
-    OBSERVED = "observed"
-    PROPOSED = "proposed"
-
-
-def _whole_digits(t: ColumnType) -> int:
-    return max(0, min(UNBOUNDED, t.precision - t.scale))
-
-
-def merged(a: ColumnType, b: ColumnType) -> ColumnType:
-    """The narrowest type that holds both."""
-    numbers = (Kind.INTEGER, Kind.DECIMAL)
-    if a.kind in numbers and b.kind in numbers:
-        scale = max(a.scale, b.scale)
-        whole = max(_whole_digits(a), _whole_digits(b))
-        kind = a.kind if a.kind is b.kind else Kind.DECIMAL
-        return ColumnType(kind, precision=max(0, min(UNBOUNDED, whole + scale)), scale=scale)
-    if a.kind is not b.kind or a.zone is not b.zone:
-        return TEXT
-    return replace(a, fraction_digits=max(a.fraction_digits, b.fraction_digits)) if a.kind is Kind.DATETIME else a
-
-
-def compatible(published: ColumnType, seen: ColumnType) -> bool:
-    """Whether a value of type ``seen`` fits the published type."""
-    match published.kind:
-        case Kind.UNKNOWN | Kind.UNSUPPORTED | Kind.TEXT:
-            return True
-        case Kind.DECIMAL:
-            if seen.kind not in (Kind.INTEGER, Kind.DECIMAL):
-                return False
-            if published.precision is None and published.scale is None:
-                return True
-            return seen.scale <= published.scale and _whole_digits(seen) <= _whole_digits(published)
-        case Kind.DATETIME:
-            digits = 9 if published.fraction_digits is None else published.fraction_digits
-            return seen.kind is Kind.DATETIME and seen.zone is published.zone and seen.fraction_digits <= digits
-    return seen.kind is published.kind
-
-
-def _replacement(published: ColumnType, seen: ColumnType) -> ColumnType:
-    widens = published.kind is Kind.DECIMAL and seen.kind in (Kind.INTEGER, Kind.DECIMAL)
-    return replace(seen, kind=Kind.DECIMAL) if widens else seen
-
-
-@dataclass
-class Bucket:
-    type: ColumnType
-    count: int
-    row: int
-    example: str
-    truncated: bool
-
-
-@dataclass
-class Evidence:
-    """What the values of a column, in source order, have shown."""
-
-    inferred: ColumnType | None = None
-    published: bool = False
-    state: State = State.IDLE
-    confidence: Confidence = Confidence.NONE
-    agreeing: int = 0
-    rows: int = 0
-    bytes: int = 0
-    empty: int = 0
-    null: int = 0
-    conflict: Conflict = Conflict.NONE
-    conflicts: int = 0
-    conflict_row: int | None = None
-    conflict_example: str | None = None
-    conflict_truncated: bool = False
-    proposal: ColumnType | None = None
-    samples: dict = field(default_factory=dict)
-    against: dict = field(default_factory=dict)
-    seen: set = field(default_factory=set)
-
-    def clear_conflicts(self) -> None:
-        self.conflict, self.conflicts, self.conflict_row, self.conflict_example, self.conflict_truncated = Conflict.NONE, 0, None, None, False
-        self.proposal, self.against = None, {}
-
-    def observe(self, row: int, text: str, sentinel: str | None, override: ColumnType | None) -> None:
-        """One value; a row counts once, however often it is shown."""
-        if row in self.seen:
-            return
-        self.seen.add(row)
-        self.rows += 1
-        self.bytes += len(text.encode())
-        if sentinel is not None and text == sentinel:
-            self.null += 1
-            return
-        if not text:
-            self.empty += 1
-            return
-        found = type_of(text)
-        self._sample(found, row, text)
-        effective = override or (self.inferred if self.published else None)
-        if effective is not None and not compatible(effective, found):
-            self._conflict(effective, found, row, text, override is not None)
-        if self.published:
-            self.agreeing += compatible(self.inferred, found)
-            return
-        self.inferred = found if self.inferred is None else merged(self.inferred, found)
-        self.agreeing += 1
-        if self.agreeing >= AGREEING:
-            self.published, self.state, self.confidence = True, State.PUBLISHED, Confidence.BOUNDED
-
-    def _sample(self, found: ColumnType, row: int, text: str) -> None:
-        key = (found.kind, found.zone)
-        if key in self.samples:
-            b = self.samples[key]
-            b.type, b.count = merged(b.type, found), b.count + 1
-        else:
-            self.samples[key] = Bucket(found, 1, row, *cap_text(text, S.EXAMPLE_BYTES))
-
-    def _note(self, row: int, example: str, truncated: bool) -> None:
-        if self.conflict_row is None:
-            self.conflict_row, self.conflict_example, self.conflict_truncated = row, example, truncated
-
-    def _conflict(self, published: ColumnType, found: ColumnType, row: int, text: str, overridden: bool) -> None:
-        self.conflicts += 1
-        if self.conflict is Conflict.NONE:
-            self.conflict = Conflict.OBSERVED
-        self._note(row, *cap_text(text, S.EXAMPLE_BYTES))
-        wanted = _replacement(published, found)
-        key = (wanted.kind, wanted.zone)
-        type_, count = self.against.get(key, (None, 0))
-        self.against[key] = (wanted if type_ is None else merged(type_, wanted), count + 1)
-        if not overridden and count + 1 >= AGREEING:
-            self.proposal, self.conflict = merged(published, self.against[key][0]), Conflict.PROPOSED
-
-    def check_samples(self, override: ColumnType) -> None:
-        """Values already seen, held against a new override."""
-        first = None
-        for b in self.samples.values():
-            if not compatible(override, b.type):
-                self.conflicts += b.count
-                self.conflict = Conflict.OBSERVED
-                first = b if first is None or b.row < first.row else first
-        if first is not None:
-            self._note(first.row, first.example, first.truncated)
-
-    def settle(self, exhaustive: bool) -> None:
-        if exhaustive:
-            self.state, self.confidence, self.published = State.PUBLISHED, Confidence.EXHAUSTIVE, self.inferred is not None
-        elif self.published:
-            self.state = State.PUBLISHED
-            self.confidence = Confidence.BOUNDED if self.confidence in (Confidence.NONE, Confidence.LOW) else self.confidence
-        else:
-            self.state, self.confidence = State.PROVISIONAL, Confidence.LOW if self.agreeing else Confidence.NONE
 
 
 @dataclass(frozen=True)
@@ -232,11 +64,12 @@ class Columns:
         self._check(column)
         e = self.evidence.get(column, Evidence())
         declared = self.table.spec.declared[column] if self.table.spec.declared else None
-        inferred = e.inferred if e.published else None
+        inferred = e.type if e.published else None
+        odd = e.odd_first
         effective = self.overrides.get(column) or inferred or declared or UNKNOWN
         return Metadata(
-            column, self.table.spec.labels[column], effective, declared, e.inferred, self.overrides.get(column), e.proposal, self.sentinels.get(column), e.state, e.confidence,
-            e.conflict, e.agreeing, e.rows, e.bytes, e.empty, e.null, e.conflicts, e.conflict_row, e.conflict_example, e.conflict_truncated,
+            column, self.table.spec.labels[column], effective, declared, e.type, self.overrides.get(column), e.proposal, self.sentinels.get(column), e.state, e.confidence,
+            e.conflict, e.agreeing, len(e.rows), e.bytes, e.empty, e.null, e.conflicts, odd and odd.row, odd and odd.example[0], odd is not None and odd.example[1],
         )
 
     def infer(self, columns: Iterable[int]) -> list[Metadata]:
@@ -272,8 +105,7 @@ class Columns:
                 if k in self.requested:
                     self.evidence[k].observe(row, value, self.sentinels.get(k), self.overrides.get(k))
         for k in self.requested:
-            e = self.evidence[k]
-            e.settle(e.confidence is Confidence.EXHAUSTIVE)
+            self.evidence[k].settle(False)
 
     def override(self, column: int, type_: ColumnType | None) -> None:
         """A type for a column, or none again. Date-times need a zone, nothing else takes parameters."""
@@ -281,14 +113,13 @@ class Columns:
         e = self.evidence.setdefault(column, Evidence())
         if type_ is None:
             if self.overrides.pop(column, None) is not None:
-                e.clear_conflicts()
+                e.forget_conflicts()
             return
         zoned = type_.kind is Kind.DATETIME
         if type_.kind in (Kind.UNKNOWN, Kind.UNSUPPORTED) or zoned == (type_.zone is Zone.NONE) or (type_.precision, type_.scale, type_.fraction_digits) != (None,) * 3:
             raise InvalidArgument(f"{type_} can't be an override")
         self.overrides[column] = type_
-        e.clear_conflicts()
-        e.check_samples(type_)
+        e.hold_against(type_)
 
     def sentinel(self, column: int, text: str | None) -> None:
         """The text that stands for null, or none; evidence starts again."""
@@ -310,10 +141,7 @@ class Columns:
         e = self.evidence.get(column)
         if e is None or e.proposal is None:
             raise NoProposal(f"column {column} has no proposal")
-        e.inferred, e.published, e.state = e.proposal, True, State.PUBLISHED
-        if e.confidence in (Confidence.NONE, Confidence.LOW):
-            e.confidence = Confidence.BOUNDED
-        e.clear_conflicts()
+        e.accept()
 
     def batch(self, columns: Sequence[int]) -> list[Metadata]:
         """Metadata in the caller's order, repeats allowed; all or nothing."""

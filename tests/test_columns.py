@@ -6,7 +6,8 @@ import threading
 import pytest
 
 from tabulon.errors import InvalidArgument, NetworkCause, NetworkError, NoProposal
-from tabulon.operators.columns import Confidence, Conflict, State, alignment, generic_name, merged, search_labels
+from tabulon.operators.columns import alignment, generic_name, search_labels
+from tabulon.operators.evidence import Confidence, Conflict, Rows, State, fits, joined
 from tabulon.operators.jobs import Job, JobState, SortAction, header_shift, jump_field, next_sort
 from tabulon.sources import delimited, parquet
 from tabulon.sources import http as web
@@ -79,9 +80,25 @@ def test_overrides_and_sentinels(table):
 )
 def test_merge(a, b, want):
     for x, y in ((a, b), (b, a)):
-        t = merged(type_of(x), type_of(y))
+        t = joined(type_of(x), type_of(y))
         assert (t.kind, t.precision, t.scale) == want
-    assert merged(type_of("2024-01-01T00:00:00.5"), type_of("2024-01-01T00:00:00.125")).fraction_digits == 3
+    assert joined(type_of("2024-01-01T00:00:00.5"), type_of("2024-01-01T00:00:00.125")).fraction_digits == 3
+
+
+def test_rows_are_ranges():
+    import random
+
+    rng, rows, seen = random.Random(1), Rows(), set()
+    for _ in range(500):
+        row = rng.randrange(120)
+        assert rows.add(row) == (row not in seen)
+        seen.add(row)
+    assert len(rows) == len(seen) == 120 - len(set(range(120)) - seen) and len(rows.first) <= 1 + len(set(range(120)) - seen)
+
+
+@pytest.mark.parametrize(("limit", "value", "want"), [("12.50", "99.9", True), ("12.50", "100.1", False), ("12.5", "1.25", False), ("5", "123456789", True), ("5", "1.0", False), ("true", "false", True), ("2024-01-01T00:00:00.25", "2024-01-01T00:00:00.125", False), ("2024-01-01T00:00:00.25Z", "2024-01-01T00:00:00Z", True), ("a", "5", True), ("2024-01-01", "5", False)])
+def test_fits(limit, value, want):
+    assert fits(type_of(limit), type_of(value)) is want
 
 
 def test_labels():
