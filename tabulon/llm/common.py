@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -13,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulon.plans.numbering import shared_folder as shared_dir
+
 #: Rows and bytes of texts of one kernel call; a batch from Spark is cut to these, so that one call's Python objects stay small.
 KERNEL_ROWS, KERNEL_BYTES = 256, 8 << 20
 #: Rows of an Arrow batch between the JVM and Python, unless the session sets its own number: whole documents are large rows.
@@ -20,18 +21,6 @@ BATCH_ROWS = 1000
 BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests, one machine) a temporary folder is made and set as the checkpoint folder.
-    """
-    where, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
-    if not where and not (where := getattr(context, "_tabulon_folder", None)):
-        where = context._tabulon_folder = "file://" + tempfile.mkdtemp(prefix="tabulon-")
-        context.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage is cut, and a lost executor costs no recomputation."""
     spark = df.sparkSession
