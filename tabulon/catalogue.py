@@ -402,3 +402,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in _FOUND.items() if sql}
+
+
+# the rest of the catalogue registers itself
+from tabulon import catalogue_rules, catalogue_text  # noqa: E402, F401

@@ -6,10 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tabulon.functions import numeric, temporal
-from tabulon.functions.text import fold, fold_text, trim, trim_text
+from tabulon.functions.text import BLANK, fold, fold_text, trim, trim_text
 from tabulon.spec import TEXT, ColumnType, Kind, Zone
 
 
+#: How every boolean, number or date begins; most texts don't, and need no further look.
+TYPED = rf"\A{BLANK}*[0-9.+\-tTfF]"
+
+
 def is_boolean(c: Column) -> Column:
     return fold(trim(c)).isin("true", "false")
 
@@ -17,7 +21,8 @@ def is_boolean(c: Column) -> Column:
 def classify(c: Column) -> Column:
     """'boolean', 'integer', 'decimal', 'date', 'datetime_naive', 'datetime_zoned' or 'text'; the first that fits."""
     return (
-        F.when(is_boolean(c), "boolean")
+        F.when(~c.rlike(TYPED), "text")
+        .when(is_boolean(c), "boolean")
         .when(numeric.is_integer(c), "integer")
         .when(numeric.is_numeric(c), "decimal")
         .when(temporal.is_date(c), "date")

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tabulon.errors import UnsupportedSchema
 from tabulon.spec import TEXT, ColumnType, Kind, Zone
 
-NANOS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSS"
+DAY_MICROS = 86_400_000_000
 
 
 def declared(kind: T.DataType) -> ColumnType:
@@ -64,17 +64,27 @@ def _spread(text: Column) -> Column:
     return F.concat(F.when(text.startswith("-"), "-").otherwise(""), placed)
 
 
+def instant(c: Column) -> Column:
+    """A timestamp as UTC, from its count of microseconds, so that the session's zone has no say."""
+    micros = F.unix_micros(c)
+    rest = F.pmod(micros, F.lit(DAY_MICROS))
+    two = lambda unit, most: F.lpad(F.floor(rest / unit % most).cast("string"), 2, "0")
+    day = F.date_from_unix_date(((micros - rest) / DAY_MICROS).cast("int")).cast("string")
+    clock = F.concat_ws(":", two(3_600_000_000, 24), two(60_000_000, 60), two(1_000_000, 60))
+    return F.concat(day, F.lit("T"), clock, F.lit("."), F.lpad((rest % 1_000_000).cast("string"), 6, "0"), F.lit("000Z"))
+
+
 def render(c: Column, kind: T.DataType) -> Column:
     """Never null: a null value is the empty string."""
     match kind:
         case T.FloatType() | T.DoubleType():
             text = plain_double(c)
         case T.TimestampType():
-            text = F.concat(F.date_format(c, NANOS), F.lit("Z"))
+            text = instant(c)
         case T.TimestampNTZType():
-            text = F.date_format(c.cast("timestamp"), NANOS)
-        case T.DateType():
-            text = F.date_format(c, "yyyy-MM-dd")
+            # the engine's own text has no zone either: a day, a blank, the clock and as much of a fraction as there is
+            clock = F.split_part(c.cast("string"), F.lit(" "), F.lit(2))
+            text = F.concat(F.split_part(c.cast("string"), F.lit(" "), F.lit(1)), F.lit("T"), F.substring(clock, 1, 8), F.lit("."), F.rpad(F.substring(clock, 10, 9), 9, "0"))
         case T.DecimalType():
             text = F.format_string("%s", c.cast("string")) if kind.scale == 0 else plain_decimal(c, kind.scale)
         case _:

@@ -26,6 +26,11 @@ class Found(Enum):
     EXHAUSTED = "exhausted"
 
 
+class CellState(Enum):
+    OK = "ok"
+    NO_CELL = "no cell"
+
+
 @dataclass(frozen=True)
 class Hit:
     """Where a navigation ended: view row, column and 1-based rank among the matches."""
@@ -204,6 +209,17 @@ class View:
 
     # -- output
 
+    def read_cell(self, view_row: int, column: int) -> tuple[CellState, str]:
+        """A whole cell, made safe for a spreadsheet, and whether there is one."""
+        got = self.cell(view_row, column)
+        return (CellState.NO_CELL, "") if got is None else (CellState.OK, got)
+
+    def oversized(self, first: int, count: int) -> DataFrame:
+        """view_row and whether the source row's extent is over the limit, for a window; Parquet rows have no extent."""
+        inside = F.col("view_row").between(first, first + min(count, S.WINDOW_ROWS) - 1)
+        rows = self.numbered if "oversized" in self.table.rows.columns else self.numbered.withColumn("oversized", F.lit(False))
+        return rows.where(inside).select("view_row", "oversized")
+
     def cell(self, view_row: int, column: int) -> str | None:
         """One whole cell, made safe for a spreadsheet; None if there is no such cell."""
         if not 0 <= column < self.table.spec.column_count:
@@ -228,20 +244,37 @@ class View:
             return Copy(self.cell(first, columns[0]) or "", 1, False)
         whole, part = divmod(max_cells, len(columns))
         lines, size, capped = [], 0, count > whole
-        for line in self._lines(first, min(count, whole), columns):
+        for line in self.lines(first, min(count, whole), columns):
             size += len(line.encode()) + 1
             if max_bytes is not None and size - 1 > max_bytes:
                 return Copy("\n".join(lines), len(lines), True)
             lines.append(line)
         rows = len(lines)
         if capped and part:
-            lines += self._lines(first + whole, 1, columns[:part])
+            lines += self.lines(first + whole, 1, columns[:part])
         return Copy("\n".join(lines), rows, capped)
 
-    def _lines(self, first: int, count: int, columns: Sequence[int]) -> Iterator[str]:
-        if count > 0:
-            for row in self.tsv_rows(first, count, columns).orderBy("view_row").select("line").toLocalIterator(prefetchPartitions=True):
-                yield row[0]
+    def lines(self, first: int, count: int, columns: Sequence[int]) -> Iterator[str]:
+        """Framed rows in order, as a stream: the driver holds a block of rows at a time. Blocks are made on the executors."""
+        if count <= 0:
+            return
+        rows = self.tsv_rows(first, count, columns).orderBy("view_row").select("line")
+        blocks = rows.mapInArrow(_blocks, "lines array<string>")
+        for block in blocks.toLocalIterator(prefetchPartitions=True):
+            yield from block[0]
+
+    def copy_to(self, path: str, first: int, count: int, columns: Sequence[int]) -> None:
+        """The same rows as text files at ``path``, in the order of their names; nothing passes through the driver."""
+        self.tsv_rows(first, count, columns).orderBy("view_row").select("line").write.text(path)
+
+
+def _blocks(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        if batch.num_rows:
+            offsets = pa.array([0, batch.num_rows], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, batch.column(0))], names=["lines"])
 
 
 @dataclass(frozen=True, eq=False)
@@ -285,7 +318,12 @@ class Find:
 
     def _go(self, ahead: Column, pick, anchor: int, more: int) -> Hit:
         place = F.struct("view_row", "source_row", "match_column")
-        before, at = self.matched.agg(F.count(F.when(F.col("view_row") < anchor, 1)), pick(F.when(ahead, place))).first()
+        view, cells = self.view, self.view.table.cells
+        matched = self.matched
+        if view.filter is None and view.sort is None:
+            # view rows are source rows: one pass without numbering
+            matched = view.table.rows.where(predicate.matches(self.request, cells)).select(F.col("source_row").alias("view_row"), "source_row", predicate.match_column(self.request, cells).alias("match_column"))
+        before, at = matched.agg(F.count(F.when(F.col("view_row") < anchor, 1)), pick(F.when(ahead, place))).first()
         return Hit(Found.EXHAUSTED) if at is None else Hit(Found.FOUND, at["view_row"], at["match_column"], before + more, at["source_row"])
 
     def wrapped(self, forward: bool, anchor: int) -> tuple[Hit, bool]:

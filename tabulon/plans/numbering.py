@@ -8,17 +8,25 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabulon.errors import InvalidArgument
+
 #: Rows of a block of source rows that is numbered by one task; blocks grow where there would be more than MOST of them.
 BLOCK = 1 << 16
 MOST = 1 << 17
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset."""
-    where, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
-    if not where and not (where := getattr(context, "_tabulon_folder", None)):
+    """``spark.checkpoint.dir``, or the folder of ``setCheckpointDir``. A temporary folder only where neither is set and all
+    executors run on this machine."""
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_tabulon_folder", None)
+    if not where:
+        found = context._jsc.sc().getCheckpointDir()
+        where = found.get() if found.isDefined() else None
+    if not where:
+        if not context.master.startswith("local"):
+            raise InvalidArgument("spark.checkpoint.dir must name a folder that driver and executors share")
         where = context._tabulon_folder = "file://" + tempfile.mkdtemp(prefix="tabulon-")
-        context.setCheckpointDir(where)
     return where.rstrip("/")
 
 

@@ -105,6 +105,8 @@ class DelimitedReader(DataSourceReader):
         return [Split(*s) for s in self.plan["splits"]]
 
     def read(self, split: Split) -> Iterator[pa.RecordBatch]:
+        if split is None:  # no split was asked for
+            return
         p, row = self.plan, split.first_row
         names = ["source_row", "oversized", *(f"c{k}" for k in p["columns"])]
         rows: list[list[str]] = []
@@ -151,8 +153,22 @@ def _line_starts(path: str, low: int, high: int, step: int) -> list[int]:
     return out
 
 
+def _unquoted(path: str, quote: str, start: int, stop: int) -> int | None:
+    """Records of a range without a quote, by its line ends alone; None where there is one."""
+    n, last, mark = 0, b"", quote.encode("ascii")
+    for piece in storage.pieces(path, start, stop):
+        if mark and mark in piece:
+            return None
+        # a line end that two pieces share counts once
+        n += piece.count(b"\n") + piece.count(b"\r") - piece.count(b"\r\n") - (last == b"\r" and piece[:1] == b"\n")
+        last = piece[-1:]
+    return n + (last not in (b"", b"\n", b"\r"))
+
+
 def _count(path: str, name: str, separator: str, quote: str, start: int, stop: int, inside: bool) -> tuple[int, bool]:
     """Records that end in [start, stop), and whether the range ends within a quoted field."""
+    if (n := _unquoted(path, quote, start, stop)) is not None:
+        return (0, True) if inside else (n, False)
     n, last_open, tail = 0, False, ""
     for fields, opened, _ in records(text_of(path, False, name, start, stop), separator, quote, inside):
         n += 1

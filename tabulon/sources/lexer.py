@@ -33,6 +33,15 @@ def records(pieces: Iterable[str], separator: str, quote: str, open_quote: bool
         piece = next(pieces, None)
         final = piece is None
         held += piece or ""
+        if "\r" not in held and not (quote and quote in held):
+            # nothing but separators and line feeds: most text of most files
+            lines = held.split("\n")
+            held = lines.pop()
+            for line in lines:
+                yield line.split(separator), False, len(line) + 1
+            if final and held:
+                yield held.split(separator), False, len(held)
+            continue
         size, begin, fields, opened = len(held), 0, [], False
         for m in find(held):
             end = m.end()

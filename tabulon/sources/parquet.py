@@ -10,7 +10,7 @@ from decimal import Decimal
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -24,6 +24,8 @@ NAME = "tabulon_parquet_text"
 CODECS = ("UNCOMPRESSED", "SNAPPY", "GZIP", "LZO", "BROTLI", "LZ4", "ZSTD", "LZ4_RAW")
 LABEL_BYTES = 127
 MOST_PRECISION = 76
+#: A table of the files' first rows is broadcast up to here.
+FEW_FILES = 100_000
 
 
 @dataclass(frozen=True)
@@ -56,7 +58,7 @@ class RowGroupInfo:
     uncompressed: int
 
 
-def _footer(path: str) -> pq.FileMetaData:
+def footer(path: str) -> pq.FileMetaData:
     with storage.opened(path) as f:
         try:
             return pq.ParquetFile(f).metadata
@@ -64,16 +66,20 @@ def _footer(path: str) -> pq.FileMetaData:
             raise UnsupportedSchema(f"{path}: {e}") from e
 
 
-def file_info(path: str) -> FileInfo:
-    m = _footer(path)
+def codecs_of(m: pq.FileMetaData) -> tuple[str, ...]:
     found = {m.row_group(g).column(c).compression for g in range(m.num_row_groups) for c in range(m.num_columns)}
-    codecs = tuple(sorted(found, key=lambda c: CODECS.index(c) if c in CODECS else len(CODECS)))
+    return tuple(sorted(found, key=lambda c: CODECS.index(c) if c in CODECS else len(CODECS)))
+
+
+def file_info(path: str) -> FileInfo:
+    m = footer(path)
+    codecs = codecs_of(m)
     mask = sum(1 << CODECS.index(c) for c in codecs if c in CODECS)
     return FileInfo(storage.size(path), m.num_rows, m.num_row_groups, m.num_columns, m.format_version, codecs, mask, m.created_by or "")
 
 
 def column_info(path: str) -> list[ColumnInfo]:
-    m = _footer(path)
+    m = footer(path)
     out = []
     for k in range(m.num_columns):
         c = m.schema.column(k)
@@ -83,7 +89,7 @@ def column_info(path: str) -> list[ColumnInfo]:
 
 
 def row_groups(path: str) -> list[RowGroupInfo]:
-    m, first, out = _footer(path), 0, []
+    m, first, out = footer(path), 0, []
     for g in range(m.num_row_groups):
         r = m.row_group(g)
         columns = [r.column(c) for c in range(r.num_columns)]
@@ -114,15 +120,16 @@ def arrow_type(kind: pa.DataType, label: str) -> ColumnType:
     raise UnsupportedSchema(f"column {label!r} of type {kind} can't be explored")
 
 
-def needs_fallback(path: str) -> bool:
+def needs_fallback(m: pq.FileMetaData) -> bool:
     """Whether Spark's reader can't read the file as it is: some codecs, times, nanoseconds, wide decimals, UUIDs, labels that
     differ in case alone or not at all."""
-    m = _footer(path)
     labels = [m.schema.column(k).name.lower() for k in range(m.num_columns)]
-    if len(set(labels)) < len(labels) or "BROTLI" in file_info(path).codecs:
+    if len(set(labels)) < len(labels) or "BROTLI" in codecs_of(m):
         return True
     for k in range(m.num_columns):
         c = m.schema.column(k)
+        if c.physical_type == "INT96":  # moments without a zone, to the nanosecond
+            return True
         logical = json.loads(c.logical_type.to_json())
         if logical.get("Type") in ("Time", "UUID", "Float16") or logical.get("timeUnit") == "nanoseconds" or logical.get("precision", 0) > 38:
             return True
@@ -143,20 +150,19 @@ def open_native(spark: SparkSession, path: str) -> Opened:
     types = tuple(declared(f.dataType) for f in raw.schema.fields)
     kinds = tuple(f.dataType for f in raw.schema.fields)
     values = [F.col(f"`{f.name}`") for f in raw.schema.fields]
-    files = sorted(raw.inputFiles())
+    files = raw.inputFiles()
     index = F.col("_metadata.row_index").cast("long")
     cells = [*(render(v, k).alias(f"c{n}") for n, (v, k) in enumerate(zip(values, kinds, strict=True))), *(v.alias(f"v{n}") for n, v in enumerate(values))]
     if len(files) <= 1:
         rows = raw.select(index.alias("source_row"), *cells)
     else:
-        # row numbers restart in each file; one row a file tells where it begins
-        sizes = dict(raw.groupBy(F.col("_metadata.file_name")).count().collect())
-        starts, total = [], 0
-        for name in sorted(sizes):
-            starts.append((name, total))
-            total += sizes[name]
-        table = spark.createDataFrame(starts or [("", 0)], "file_ string, start_ long")
-        rows = raw.select(F.col("_metadata.file_name").alias("file_"), index.alias("at_"), *cells).join(F.broadcast(table), "file_")
+        # row numbers restart in each file; one row a file tells where it begins, files in order of their whole paths, as base
+        # names repeat over the folders of a partitioned table
+        before = Window.partitionBy(F.lit(0)).orderBy("file_").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = raw.groupBy(F.col("_metadata.file_path").alias("file_")).agg(F.count("*").alias("n_"))
+        starts = sizes.select("file_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
+        rows = raw.select(F.col("_metadata.file_path").alias("file_"), index.alias("at_"), *cells)
+        rows = rows.join(F.broadcast(starts) if len(files) <= FEW_FILES else starts, "file_")
         rows = rows.withColumn("source_row", F.col("start_") + F.col("at_")).drop("file_", "at_", "start_")
     return Opened(rows, tuple(f.name for f in raw.schema.fields), types, kinds, None)
 
@@ -213,6 +219,8 @@ class ParquetTextReader(DataSourceReader):
         return [Group(*g) for g in self.plan["groups"]]
 
     def read(self, group: Group) -> Iterator[pa.RecordBatch]:
+        if group is None:  # no row group was asked for
+            return
         p, row = self.plan, group.first_row
         low, high = p["rows"] or (0, 1 << 62)
         names = ["source_row", *(f"c{k}" for k in p["columns"])]

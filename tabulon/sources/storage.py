@@ -53,9 +53,12 @@ def head(path: str, n: int) -> bytes:
 
 
 def pieces(path: str, start: int, stop: int) -> Iterator[bytes]:
-    """The bytes [start, stop) in order."""
+    """The bytes [start, stop) in order; a file that has become shorter since its size was taken is an error, as fewer rows
+    would else be read in silence."""
     with opened(path) as f:
         f.seek(start)
         while start < stop and (piece := f.read(min(PIECE, stop - start))):
             start += len(piece)
             yield piece
+    if start < stop:
+        raise ReadFailed(f"{path} ends at byte {start}, where {stop} were there when it was opened")

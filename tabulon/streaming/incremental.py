@@ -15,7 +15,7 @@ from tabulon.spec import SearchRequest
 def cells(raw: DataFrame) -> DataFrame:
     """Text cells c0.. of a frame's columns, with the file and row that each comes from."""
     kinds = [(F.col(f"`{f.name}`"), f.dataType) for f in raw.schema.fields]
-    place = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").cast("long").alias("file_row")]
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").cast("long").alias("file_row")]
     return raw.select(*place, *(render(c, k).alias(f"c{n}") for n, (c, k) in enumerate(kinds)))
 
 

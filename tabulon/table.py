@@ -10,7 +10,7 @@ from urllib.parse import urlparse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.errors import NotFound, ReadFailed, UnsupportedSchema
+from tabulon.errors import ReadFailed, UnsupportedSchema
 from tabulon.functions import numeric
 from tabulon.operators.columns import Columns
 from tabulon.operators.view import View
@@ -47,6 +47,24 @@ class Table:
             return self._between(first, stop, columns)
         return self.rows.where(F.col("source_row").between(first, stop - 1)).select("source_row", *(f"c{k}" for k in columns))
 
+    @cached_property
+    def estimated_count(self) -> tuple[int, bool]:
+        """(rows, whether that is exact) by the head alone, without a job."""
+        spec = self.spec
+        if spec.row_count is not None:
+            return spec.row_count, True
+        if spec.is_parquet:
+            return View(self).count(), True
+        if spec.gzip or not encoding.single_byte_marks(spec.dialect.encoding):
+            rows = delimited.head(spec, delimited.NEAR_ROWS)
+            return len(rows), len(rows) < delimited.NEAR_ROWS
+        stop = min(spec.size_bytes, spec.data_start + HEAD_BYTES)
+        text = delimited.text_of(spec.path, False, spec.dialect.encoding, spec.data_start, stop)
+        rows = sum(1 for _ in records(text, spec.dialect.separator, spec.dialect.quote))
+        # the record that the head cuts isn't counted as scanned
+        whole = stop == spec.size_bytes
+        return (rows, True) if whole else (estimated_rows(spec.size_bytes - spec.data_start, max(1, rows - 1), stop - spec.data_start), False)
+
     def view(self) -> View:
         return View(self)
 
@@ -151,7 +169,8 @@ def open_table(spark: SparkSession, path: str, options: OpenOptions = OpenOption
     if mark in PARQUET_MARKS:
         if mark == b"PARE":
             raise UnsupportedSchema(f"{path} is encrypted")
-        return _parquet(spark, path, native=not remote and not parquet.needs_fallback(path))
+        footer = parquet.footer(path)
+        return _parquet(spark, path, native=not remote and not parquet.needs_fallback(footer), row_count=footer.num_rows)
     spec = probe(path, options)
     if not spec.labels:
         return Table(spark, spec, lambda: spark.createDataFrame([], "source_row long, oversized boolean"))
@@ -159,14 +178,9 @@ def open_table(spark: SparkSession, path: str, options: OpenOptions = OpenOption
     return Table(spark, spec, lambda: delimited.load(spark, spec), (), part)
 
 
-def _parquet(spark: SparkSession, path: str, native: bool) -> Table:
+def _parquet(spark: SparkSession, path: str, native: bool, row_count: int | None = None) -> Table:
     got = parquet.open_native(spark, path) if native else parquet.open_text(spark, path)
-    rows, part = got.row_count, None
-    if native:
-        try:
-            rows = parquet.file_info(path).rows
-        except (ReadFailed, NotFound, UnsupportedSchema):
-            rows = None
+    rows, part = row_count if got.row_count is None else got.row_count, None
     if rows is not None:  # a single file whose row groups are known
         part = lambda first, stop, columns: parquet.load_text(spark, path, got.labels, columns, (first, stop))
     types: tuple[ColumnType, ...] = got.declared
