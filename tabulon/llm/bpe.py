@@ -14,7 +14,6 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from functools import lru_cache
 from itertools import repeat
 
 import regex
@@ -92,9 +91,8 @@ class Odd(Exception):
 
 
 class Codec:
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, raw: bytes) -> None:
+        spec = json.loads(raw)
         letters = byte_letters()
         back = {c: b for b, c in letters.items()}
         vocab = spec["model"]["vocab"]
@@ -188,10 +186,27 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
 
 
-@lru_cache(maxsize=2)
+_CODECS: dict[bytes, Codec] = {}
+
+
+def codec_of(raw: bytes) -> Codec:
+    """One a process and vocabulary: workers are used again by later tasks."""
+    key = hashlib.sha1(raw).digest()
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(raw)
+    return _CODECS[key]
+
+
 def codec(path: str) -> Codec:
-    """One a process: workers are used again by later tasks."""
-    return Codec(path)
+    with open(path, "rb") as f:
+        return codec_of(f.read())
+
+
+def shipped(docs: DataFrame, vocabulary: str):
+    """The vocabulary file's bytes, read by the driver (a few MB, fixed) and broadcast: executors needn't have the file."""
+    with open(vocabulary, "rb") as f:
+        return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
 FIELDS = (("ids", T.StringType()), ("n_tokens", T.LongType()), ("decoded", T.StringType()))
@@ -200,9 +215,10 @@ DIGESTS = (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded
 
 def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep=None) -> DataFrame:
     """``ids`` (decimal, comma-joined), ``n_tokens`` and ``decoded`` of every text, beside ``keep`` (all columns by default)."""
+    shared = shipped(docs, vocabulary)
 
     def make():
-        code = codec(vocabulary)
+        code = codec_of(shared.value)
 
         def kernel(texts):
             ids = [code.encode(t or "") for t in texts]
@@ -216,9 +232,10 @@ def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep
 
 def digests(docs: DataFrame, vocabulary: str, text_col: str = "text", keep=None) -> DataFrame:
     """The same, but only digests leave Python: ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``."""
+    shared = shipped(docs, vocabulary)
 
     def make():
-        code = codec(vocabulary)
+        code = codec_of(shared.value)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
         def kernel(texts):
@@ -241,9 +258,10 @@ CHECKED = (("ids", T.StringType()), ("n_tokens", T.LongType()), ("round_trip", T
 
 def encode_checked(docs: DataFrame, vocabulary: str, text_col: str = "text", keep=None) -> DataFrame:
     """``ids``, ``n_tokens``, and ``round_trip``: whether decoding the ids gives the text."""
+    shared = shipped(docs, vocabulary)
 
     def make():
-        code = codec(vocabulary)
+        code = codec_of(shared.value)
 
         def kernel(texts):
             ids = [code.encode(t or "") for t in texts]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.plans.numbering import shared_folder as shared_dir
+from tabulon.plans.numbering import new_path
 
 #: Rows and bytes of texts of one kernel call; a batch from Spark is cut to these, so that one call's Python objects stay small.
 KERNEL_ROWS, KERNEL_BYTES = 256, 8 << 20
@@ -24,7 +23,7 @@ BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage is cut, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import bound_batches, cuts, shared_dir, written
+from tabulon.llm.common import bound_batches, cuts, new_path, written
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 32 << 20
@@ -290,6 +290,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Writes the archives to a new folder in the shared one, and reads them back."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = new_path(spark, "warc")
     write(pages, path, id_col, url_col, payload_col)
     return read(spark, path)
