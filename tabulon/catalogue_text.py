@@ -3,7 +3,6 @@ source in question in the shared folder, opened, and held against SQL over the t
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +12,7 @@ from tabulon.catalogue import NUMBERED, PLAIN, at, named, opened, query, request
 from tabulon.functions import numeric
 from tabulon.functions.display import Format, Preset, formatted
 from tabulon.functions.text import trim
-from tabulon.plans.numbering import shared_folder
+from tabulon.plans.numbering import new_path
 from tabulon.sources import delimited, parquet
 from tabulon.spec import ColumnType, Kind, Mode, OpenOptions, SearchRequest
 from tabulon.table import Table, open_table
@@ -29,7 +28,7 @@ def source_of(spark: SparkSession, sf_dir: str, name: str, cells: Sequence[tuple
         rows = rows.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("source_row"), line([F.lit(n) for n, _ in cells]).alias("line")))
     # one file in order, as a delimited table is; only its bytes go out, in whatever encoding
     text = rows.repartition(1).sortWithinPartitions("source_row").select(F.encode("line", encoding).cast("string").alias("value"))
-    path = f"{shared_folder(spark)}/source-{uuid.uuid4().hex}"
+    path = new_path(spark, "source")
     text.write.option("lineSep", "\n").option("encoding", encoding).option("compression", "gzip" if gzip else "none").text(path)
     return spark.read.format("binaryFile").load(path).select("path").where(F.col("path").rlike("/part-")).first()[0]
 
@@ -286,7 +285,7 @@ def labels_batch(spark, sf_dir):
 
 
 def _written(df: DataFrame, *by: str) -> str:
-    path = f"{shared_folder(df.sparkSession)}/parquet-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, "parquet")
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return path
 

@@ -320,9 +320,18 @@ class Find:
         place = F.struct("view_row", "source_row", "match_column")
         view, cells = self.view, self.view.table.cells
         matched = self.matched
-        if view.filter is None and view.sort is None:
+        known, key = view.table.rank_tables, ("matches", view.filter, view.sort, self.request)
+        if key in known:
+            # navigated before: its matches are kept from now on, so that a step reads them alone
+            if known[key] is None:
+                path = numbering.new_path(view.table.spark, "matches")
+                matched.write.parquet(path)
+                known[key] = view.table.spark.read.schema(matched.schema).parquet(path)
+            matched = known[key]
+        elif view.filter is None and view.sort is None:
             # view rows are source rows: one pass without numbering
             matched = view.table.rows.where(predicate.matches(self.request, cells)).select(F.col("source_row").alias("view_row"), "source_row", predicate.match_column(self.request, cells).alias("match_column"))
+        known.setdefault(key, None)
         before, at = matched.agg(F.count(F.when(F.col("view_row") < anchor, 1)), pick(F.when(ahead, place))).first()
         return Hit(Found.EXHAUSTED) if at is None else Hit(Found.FOUND, at["view_row"], at["match_column"], before + more, at["source_row"])
 

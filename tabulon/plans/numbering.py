@@ -30,6 +30,28 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder, remembered for ``clear``."""
+    context = spark.sparkContext
+    if not hasattr(context, "_tabulon_paths"):
+        context._tabulon_paths = []
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    context._tabulon_paths.append(path)
+    return path
+
+
+def clear(spark: SparkSession, keep: str | None = None) -> None:
+    """Deletes what this session has written to the shared folder, but for ``keep``. Frames that read it end with it, so it is
+    for the caller to say when."""
+    context = spark.sparkContext
+    paths, conf = getattr(context, "_tabulon_paths", []), context._jsc.hadoopConfiguration()
+    context._tabulon_paths = [p for p in paths if p == keep]
+    for p in paths:
+        if p != keep:
+            path = context._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def by_position(df: DataFrame, position: str, name: str, rows: int | None = None) -> DataFrame:
     """``name``: the rank from 0 by a unique long ``position``.
 
@@ -55,7 +77,7 @@ def by_order(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
     files before plus the row's place in its file, so reading needs neither a sort nor the same range bounds again.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/order-{uuid.uuid4().hex}"
+    path = new_path(spark, "order")
     df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.option("maxRecordsPerFile", 0).parquet(path)
     kept = spark.read.schema(df.schema).parquet(path).select("*", F.col("_metadata.file_name").alias("file_"), F.col("_metadata.row_index").alias("at_"))
     # one row a range partition; part files are named by partition

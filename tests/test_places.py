@@ -86,6 +86,23 @@ def test_streamed_copies(spark, tmp_path):
     assert view.read_cell(0, 1) == (CellState.OK, "'=4999") and view.read_cell(9999, 1) == view.read_cell(0, 9) == (CellState.NO_CELL, "")
 
 
+def test_matches_are_kept_and_cleared(spark, tmp_path):
+    """From the second step on; what was written goes when the caller says so."""
+    from tabulon.plans import numbering
+
+    spark.range(900).selectExpr("id", "concat('row', id) as s").coalesce(1).write.parquet(str(tmp_path / "t"))
+    t = open_table(spark, str(next((tmp_path / "t").glob("part-*"))))
+    for view in (t.view(), t.where(SearchRequest(Mode.GE, "100", 0)), t.order_by(0, True)):
+        find = view.find(SearchRequest(Mode.TEXT, "row77", scope=(1,)))
+        steps = [find.next(0), find.next(300), find.next(899), find.previous(900)]
+        assert [(h.source_row, h.position) for h in steps] == [(h.source_row, h.position) for h in [find.next(0), find.next(300), find.next(899), find.previous(900)]]
+        assert steps[0].position == 1 and steps[0].source_row is not None
+    before = list(spark.sparkContext._tabulon_paths)
+    numbering.clear(spark, keep=before[-1])
+    there = [os.path.isdir(p.removeprefix("file://").removeprefix("file:")) for p in before]
+    assert len(before) >= 4 and there == [False] * (len(before) - 1) + [True]
+
+
 def test_the_entry_hides_no_import_error(tmp_path):
     """A package that is absent is left out; one that fails is an error."""
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
