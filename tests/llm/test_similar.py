@@ -3,7 +3,9 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabulon.llm import similar
 
@@ -40,4 +42,8 @@ def test_similar_texts(spark, monkeypatch, rounds):
     assert {part[i] for i in ids} == set(part.values()) and set(part.values()) <= ids and len(ids) < len(texts)
     assert {(900, None), (901, ""), (None, rows[-1][1])} <= set(kept) and (None, texts[0] + " end") not in kept
     assert similar.without_similar(docs.limit(0)).count() == 0
-    assert len(similar.band_keys("x " * 20000)) == similar.BANDS
+    assert len(similar.band_keys("x " * 20000)[0]) == similar.BANDS and similar.band_keys("x " * 20000)[1] == 1
+    one, other = (similar.band_keys(texts[k])[2] for k in (0, 3))
+    df = spark.createDataFrame([(one, other), (one, one)], "a array<long>, b array<long>")
+    plain = sum(x == y for x, y in zip(np.array(one).view(np.uint8), np.array(other).view(np.uint8), strict=True))
+    assert [r[0] for r in df.select(similar.agreeing(F.col("a"), F.col("b"))).collect()] == [plain, similar.SKETCH]
