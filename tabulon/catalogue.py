@@ -405,4 +405,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 # the rest of the catalogue registers itself
-from tabulon import catalogue_rules, catalogue_text  # noqa: E402, F401
+from tabulon import catalogue_net, catalogue_rules, catalogue_text  # noqa: E402, F401
