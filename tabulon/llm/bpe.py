@@ -5,7 +5,8 @@ with the rank of every adjacent pair beside it; the least rank (the leftmost on
 two neighbouring ranks refreshed, until no pair has a rank. Words over ``SHORT`` bytes take the same merges from a heap,
 since repeated scans of a long array cost its square. Encoded words are kept in a bounded memo.
 
-Nulls count as the empty text, which has no tokens. Any length of text is encoded whole.
+Nulls count as the empty text, which has no tokens. Any length of text is encoded whole. Repeated rows get equal results, an
+empty table none. Input columns named like the new ones give way to them.
 """
 
 from __future__ import annotations
