@@ -237,7 +237,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     known = revisits(keyed).select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("name"), "digest", "refers_to", F.lit(None).cast("boolean").alias("again"))
     marked = keyed.join(repeated, "name").select("name", F.coalesce("digest", F.lit("")).alias("digest"), F.lit(None).cast("long").alias("refers_to"), F.lit(True).alias("again"))
     others = known.unionByName(marked).groupBy("name", "digest").agg(F.max("refers_to").alias("refers_to"), F.max("again").alias("again"))
-    others = others.repartition(partitions, "name", "digest").hint("shuffle_hash")
+    # written first, so that the plan of the join doesn't change when its pieces are done, which would shuffle the payloads again
+    others = written(others, "others").repartition(partitions, "name", "digest").hint("shuffle_hash")
     rows = rows.repartition(partitions, "name", "digest").join(others, ["name", "digest"], "left").select("key", "url", "body", "refers_to", "again")
 
     def run(batches):
